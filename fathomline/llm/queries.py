@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from fathomline.llm import url_filter
+from fathomline.llm.mixing import mix
 from fathomline.llm.packing import best_fit_packing
 from fathomline.llm.token_files import token_files
 
 #: Vocabulary file; read from where it is installed.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_url_filter": url_filter.SQL}
 
 
 def table(spark, sf_dir: str, name: str):
@@ -20,9 +22,17 @@ def op2_best_fit_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_url_filter(spark, sf_dir):
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op9_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
