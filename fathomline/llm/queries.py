@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 
 from fathomline.llm import url_filter
+from fathomline.llm.cotraining import quality_classifier
 from fathomline.llm.mixing import mix
 from fathomline.llm.packing import best_fit_packing
+from fathomline.llm.quality_rules import quality_rules
 from fathomline.llm.token_files import token_files
 
 #: Vocabulary file; read from where it is installed.
@@ -22,6 +24,14 @@ def op2_best_fit_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op3_quality_classifier(spark, sf_dir):
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
