@@ -6,6 +6,7 @@ import public_tokenizers
 
 from fathomline.llm import url_filter
 from fathomline.llm.cotraining import quality_classifier
+from fathomline.llm.minhash import near_duplicates
 from fathomline.llm.mixing import mix
 from fathomline.llm.packing import best_fit_packing
 from fathomline.llm.quality_rules import quality_rules
@@ -32,6 +33,10 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_minhash_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
