@@ -10,6 +10,7 @@ from fathomline.llm.minhash import near_duplicates
 from fathomline.llm.mixing import mix
 from fathomline.llm.packing import best_fit_packing
 from fathomline.llm.quality_rules import quality_rules
+from fathomline.llm.substring import repeated_passages
 from fathomline.llm.token_files import token_files
 
 #: Vocabulary file; read from where it is installed.
@@ -21,6 +22,10 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"), VOCABULARY)
 
