@@ -124,7 +124,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     Null text counts as empty; repeated rows are written as often as they come. Returns the files' rows (part, path,
     n_documents, n_ids) in order, one for each partition that had rows.
     """
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return sorted(parts.mapInArrow(lambda batches: write_part(batches, folder, vocabulary, end_id), "part int, path string, n_documents long, n_ids long").collect())
 
 
