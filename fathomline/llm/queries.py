@@ -7,6 +7,7 @@ import public_tokenizers
 from fathomline.llm import url_filter
 from fathomline.llm.cotraining import quality_classifier
 from fathomline.llm.fingerprints import fingerprints
+from fathomline.llm.lm import score_texts
 from fathomline.llm.minhash import near_duplicates
 from fathomline.llm.mixing import mix
 from fathomline.llm.packing import best_fit_packing
@@ -47,6 +48,10 @@ def op6_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
