@@ -18,6 +18,8 @@ from fathomline.llm.text import mix, segment_sums, slices, span_hashes, words
 #: Rows that the classifiers are fitted on: labelled ones of each class, and unlabelled ones, at most.
 LABELLED, UNLABELLED = 1000, 1500
 ROUNDS, CONFIDENT, NEW = 3, 0.95, 100
+#: Training steps of the first fit, and of each later one.
+FIRST_STEPS, NEXT_STEPS = 150, 40
 THRESHOLD = 0.5
 META_BITS = 10
 #: Numbers of the metadata view: log size, lines, words, and shares of letters, digits, spaces and other bytes.
@@ -78,10 +80,9 @@ def co_train(ids, y, content, meta):
     given = [np.where(held, -1, y), np.where(held, -1, y)]  # of each view
     models = []
     for r in range(ROUNDS + 1):
-        models = []
-        for v in (0, 1):
-            own = np.flatnonzero(given[v] >= 0)
-            models.append(linear.fit([views[v][i] for i in own], given[v][own], sizes[v]))
+        own = [np.flatnonzero(g >= 0) for g in given]
+        # later rounds go on from the last one's weights
+        models = [linear.fit([views[v][i] for i in own[v]], given[v][own[v]], sizes[v], rounds=FIRST_STEPS if r == 0 else NEXT_STEPS, start=models[v] if r else None) for v in (0, 1)]
         if r == ROUNDS:
             break
         for v in (0, 1):  # what this view is sure of, the other learns

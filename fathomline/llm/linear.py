@@ -73,8 +73,8 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -50, 50)))
 
 
-def fit(rows, y: np.ndarray, size: int, rounds: int = 150, rate: float = 1.0, ridge: float = 1e-4, weight=None) -> Logistic:
-    """Adagrad over the whole sample, classes weighted alike; rows: (features, values) of each example."""
+def fit(rows, y: np.ndarray, size: int, rounds: int = 150, rate: float = 1.0, ridge: float = 1e-4, start: Logistic | None = None) -> Logistic:
+    """Adagrad over the whole sample, classes weighted alike, from `start` if given; rows: (features, values) of each example."""
     y = np.asarray(y, float)
     if not len(rows) or y.min() == y.max():
         return Logistic(np.zeros(size, np.float32), 0.0 if not len(rows) else (4.0 if y[0] else -4.0))
@@ -83,8 +83,9 @@ def fit(rows, y: np.ndarray, size: int, rounds: int = 150, rate: float = 1.0, ri
     lens = np.array([len(i) for i, _ in rows])
     of = np.repeat(np.arange(len(rows)), lens)
     at = np.concatenate([[0], np.cumsum(lens)])
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * (1 if weight is None else weight)
-    w, b, seen, seen_b = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    w, b = (np.zeros(size), 0.0) if start is None else (start.weights.astype(np.float64), start.bias)
+    seen, seen_b = np.full(size, 1e-8), 1e-8
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(segment_sums(value * w[index], at) + b, -50, 50)))
         error = (p - y) * share
