@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.errors import ProcessingError
@@ -46,26 +46,47 @@ def check_crs(input_crs: str, output_crs: str) -> int:
     return code
 
 
-def projection_sql(lon: str, lat: str, code: int) -> tuple[str, str]:
-    """(x, y) as SQL text over degrees; the same text runs in any engine with hyperbolic functions."""
+def _parts(code: int) -> dict[str, str]:
+    """SQL text of the steps, each named and over the earlier ones' names; `x` and `y` last."""
     d = lambda v: f"cast('{v!r}' AS double)"
     if code == 3857:
-        return f"{d(AXIS)} * radians({lon})", f"{d(AXIS)} * asinh(tan(radians({lat})))"
+        return {"x": f"{d(AXIS)} * radians(lon)", "y": f"{d(AXIS)} * asinh(tan(radians(lat)))"}
     n = FLATTENING / (2 - FLATTENING)
     e = 2 * n**0.5 / (1 + n)
     radius = SCALE * AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256)
-    lam = f"radians({lon} - ({6 * (code % 100) - 183}))"
-    s = f"sin(radians({lat}))"
-    t = f"sinh(atanh({s}) - {d(e)} * atanh({d(e)} * {s}))"
-    xi, eta = f"atan2({t}, cos({lam}))", f"asinh(sin({lam}) / sqrt({t} * {t} + cos({lam}) * cos({lam})))"
-    east = " + ".join([eta, *(f"{d(a)} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(_series(n), 1))])
-    north = " + ".join([xi, *(f"{d(a)} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(_series(n), 1))])
-    return f"{d(FALSE_EASTING)} + {d(radius)} * ({east})", f"{d(FALSE_NORTHING if code // 100 == 327 else 0.0)} + {d(radius)} * ({north})"
-
-
-def project(lon: str, lat: str, code: int) -> tuple[Column, Column]:
-    """x and y; null where the formula has no finite value (poles, points a quarter turn from the meridian)."""
-    x, y = (F.expr(v) for v in projection_sql(lon, lat, code))
+    alpha = list(enumerate(_series(n), 1))
+    east = " + ".join(["eta", *(f"{d(a)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in alpha)])
+    north = " + ".join(["xi", *(f"{d(a)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in alpha)])
+    return {
+        "lam": f"radians(lon - ({6 * (code % 100) - 183}))",
+        "s": "sin(radians(lat))",
+        "t": f"sinh(atanh(s) - {d(e)} * atanh({d(e)} * s))",
+        "xi": "atan2(t, cos(lam))",
+        "eta": "asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam)))",
+        "x": f"{d(FALSE_EASTING)} + {d(radius)} * ({east})",
+        "y": f"{d(FALSE_NORTHING if code // 100 == 327 else 0.0)} + {d(radius)} * ({north})",
+    }
+
+
+def projection_query(source: str, code: int) -> str:
+    """SQL over a relation with lon and lat in degrees: its columns, the steps, x and y. The text runs in any engine with hyperbolic functions."""
+    for name, text in _parts(code).items():
+        source = f"SELECT *, {text} AS {name} FROM ({source}) AS p_{name}"
+    return source
+
+
+def project(df: DataFrame, lon: str, lat: str, x: str, y: str, code: int, where: Column) -> DataFrame:
+    """`df` with x and y; null outside `where` and where the formula has no finite value (poles, points near a quarter turn from the meridian).
+
+    Each step is bound to its name by a one-element array, so it is computed once and the optimizer, which would put the
+    steps' texts in each other's place, keeps one expression of bounded size.
+    """
     far = F.lit(False) if code == 3857 else F.abs(F.pmod(F.col(lon) - (6 * (code % 100) - 183) + 180, F.lit(360.0)) - 180) > 80
-    good = ~far & (F.abs(F.col(lat)) < 90) & (F.abs(x) < 1e9) & (F.abs(y) < 1e9)
-    return F.when(good, x), F.when(good, y)
+    good = where & ~far & (F.abs(F.col(lat)) < 90)
+    parts = _parts(code)
+    text = f"named_struct('x', {parts.pop('x')}, 'y', {parts.pop('y')})"
+    for name, step in reversed([("lon", f"`{lon}`"), ("lat", f"`{lat}`"), *parts.items()]):
+        text = f"element_at(transform(array({step}), {name} -> {text}), 1)"
+    point = df.withColumn("_point", F.when(good, F.expr(text)))
+    fine = (F.abs(F.col("_point.x")) < 1e9) & (F.abs(F.col("_point.y")) < 1e9)
+    return point.withColumns({x: F.when(fine, F.col("_point.x")), y: F.when(fine, F.col("_point.y"))}).drop("_point")

@@ -30,8 +30,7 @@ def flag_quality(table: DataFrame, config: ProcessingConfig) -> DataFrame:
     bad_beam = ~finite(F.col("_beam")) | (F.col("_beam") <= 0)
     bad_depth = ~finite(depth) | (depth < config.min_depth_m) | (depth > config.max_depth_m)
     reason = F.when(bad_depth, BAD_DEPTH).when(bad_beam, BAD_BEAM).when(bad_coordinates, BAD_COORDINATES).otherwise("")
-    x, y = project("_lon", "_lat", code)
-    flagged = parsed.withColumn("_reason", reason).withColumn("_x", F.when(F.col("_reason") == "", x)).withColumn("_y", F.when(F.col("_reason") == "", y))
+    flagged = project(parsed.withColumn("_reason", reason), "_lon", "_lat", "_x", "_y", code, F.col("_reason") == "")
     reason = F.when((F.col("_reason") == "") & (F.col("_x").isNull() | F.col("_y").isNull()), BAD_PROJECTION).otherwise(F.col("_reason"))
     placed = F.col("_x").isNotNull() & F.col("_y").isNotNull()
     out = flagged.withColumns({"_reason": reason, "_x": F.when(placed, F.col("_x")), "_y": F.when(placed, F.col("_y"))})

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.checkpoints import settled
 from fathomline.errors import ProcessingError
 
 
@@ -31,7 +32,7 @@ def nearest_distances(points: DataFrame, cell: float | None = None) -> DataFrame
         right = points.select(F.col("pid").alias("q"), F.col("x_m").alias("qx"), F.col("y_m").alias("qy"), gx.alias("gx"), gy.alias("gy"))
         d = F.sqrt(F.pow(F.col("x_m") - F.col("qx"), 2) + F.pow(F.col("y_m") - F.col("qy"), 2))
         found = left.join(right, ["gx", "gy"]).where("pid != q").groupBy("pid").agg(F.min(d).alias("distance")).where(F.col("distance") <= (cell if cell <= span else float("inf")))
-        found = found.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else found.persist()
+        found = settled(found)
         done = found if done is None else done.unionByName(found)
         if cell > span or found.count() == open_.count():
             return done

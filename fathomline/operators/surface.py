@@ -38,7 +38,7 @@ def tin_faces(points: DataFrame) -> DataFrame:
         faces = [tuple(pid[v] for v in t) for t in triangulate(rows["x_m"].tolist(), rows["y_m"].tolist())]
         return pd.DataFrame({"fid": range(len(faces)), **{c: [f[i] for f in faces] for i, c in enumerate("ijk")}}).astype("int64")
 
-    return points.select("pid", "x_m", "y_m").groupBy(F.lit(0)).applyInPandas(build, "fid long, i long, j long, k long")
+    return points.select("pid", "x_m", "y_m", F.lit(0).alias("survey")).groupBy("survey").applyInPandas(build, "fid long, i long, j long, k long")
 
 
 def face_corners(faces: DataFrame, points: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomline.checkpoints import settled
 from fathomline.config import CsvInspection
 from fathomline.errors import ProcessingError
 
@@ -80,9 +81,12 @@ def select_column(names: list[str], kind: str) -> str | None:
 
 
 def number_rows(df: DataFrame, name: str = "source_row", first: int = 2) -> DataFrame:
-    """`df` with consecutive numbers in its order: a partition's offset plus the place in it. One pass counts, none shuffles rows."""
+    """`df` with consecutive numbers in its order: a partition's offset plus the place in it.
+
+    The marked rows are written first: counts and numbers must come from the same partitions. Rows are not shuffled.
+    """
     spark = df.sparkSession
-    marked = df.withColumn("_at", F.monotonically_increasing_id())
+    marked = settled(df.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     counts = sorted((r.p, r.n) for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     offsets, total = [], first
