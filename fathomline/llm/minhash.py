@@ -5,15 +5,16 @@ keys; of the minima themselves only the low BITS are kept, packed. Candidates sh
 similarity (bit counts, corrected for chance matches) lies far below the threshold are dropped, the rest are confirmed on the sets.
 
 Within a band bucket no pairs are listed wholesale: documents that are already linked through others need no comparison.
-In each round every part of a bucket that is not yet joined is compared with a few pivots of the bucket; once what is left is no
-more than proportional to the table, the remaining pairs of different parts are compared all.
+In each round all members of a bucket that are not yet joined with its pivot are compared with it (each bucket of alike documents draws
+another pivot); once the pairs left are no more than the buckets have members, those of different parts are compared all. Should
+PIVOTS rounds not bring that about (buckets full of unlike documents), the bound is raised fourfold a round, so that the search stays exact.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.storage import staged
@@ -86,10 +87,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text).
 
     Links: 100 * intersection >= percent * union of the shingle sets. Null or empty texts have an empty set and are their own
-    component. Rows that share a doc_id are one node per set, joined by their id. A null doc_id takes part like any other; it comes first, so its component has a null id. An empty table gives no rows.
+    component. Repeated rows are nodes of their own, linked by their equal sets. A null doc_id takes part like any other; it comes first, so its component has a null id. An empty table gives no rows.
     """
-    key_of = lambda n: F.col(n)
-
     def sign(batches):
         for batch in batches:
             for first, end, data, at in slices(batch.column("text")):
@@ -101,13 +100,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     ids = F.coalesce("doc_id", F.lit(-(1 << 63)))
     classes = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min(ids).alias("node"), F.min_by(F.struct("signature", "bands"), ids).alias("s"), F.max("n_shingles").alias("n"))
     nodes = staged(classes.select("node", "set_hash", "n", "s.signature", "s.bands"), "nodes")
-    # a node is one set; ids that come with several sets join them later
+    # a node is one set
     banded = nodes.select("set_hash", F.posexplode("bands").alias("band", "key"))
     full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = staged(banded.join(full, "key").select("key", "set_hash"), "members")
     links = confirmed_components(docs, nodes, members, width, percent)
     labelled = signed.select("doc_id", "n_shingles", "set_hash").join(links, "set_hash", "left")
-    # sets of one id: the least label of each id, followed until nothing changes
     by_label = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min(ids).alias("low"))
     named = labelled.join(by_label, "label", "left")
     component = F.when(F.col("n_shingles") == 0, ids).otherwise(F.col("low"))
@@ -124,11 +122,12 @@ def confirmed_components(docs: DataFrame, nodes: DataFrame, members: DataFrame,
     sets = staged(candidate_sets(docs, candidates, width), "sets")
     info = nodes.select("set_hash", "signature", "n")
     links, tried, round_ = None, None, 0
-    limit = 2 * nodes.count() + 1000
+    # what may be compared pair by pair: as many pairs as the buckets have members
+    limit = members.count() + 1000
     current = candidates.select("set_hash", F.col("set_hash").alias("label"))
     while True:
         marked = members.join(current, "set_hash")
-        parts = marked.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.xxhash64("set_hash", F.lit(round_))).alias("h"), F.min_by("set_hash", F.xxhash64("set_hash", F.lit(round_))).alias("pivot"))
+        parts = marked.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.xxhash64("set_hash", "key", F.lit(round_))).alias("h"), F.min_by("set_hash", F.xxhash64("set_hash", "key", F.lit(round_))).alias("pivot"))
         buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.min_by("label", "h").alias("pivot_label"), F.min_by("pivot", "h").alias("pivot")).where("parts > 1")
         buckets = staged(buckets, "buckets")
         total = buckets.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0]
@@ -151,7 +150,7 @@ def confirmed_components(docs: DataFrame, nodes: DataFrame, members: DataFrame,
         if last:
             break
         tried = pairs if tried is None else staged(tried.unionByName(pairs), "tried")
-        if round_ >= PIVOTS:  # more pivots do not shrink buckets of unlike documents: bound pairs by finer keys instead
+        if round_ >= PIVOTS:
             limit *= 4
         round_ += 1
     return labels.join(current.withColumnRenamed("label", "found"), "set_hash", "left").select("set_hash", F.coalesce("found", "label").alias("label"))
