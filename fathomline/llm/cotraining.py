@@ -100,7 +100,7 @@ def co_train(ids, y, content, meta):
     both = [(np.array([0, 1]), np.array(o)) for o in zip(*odds, strict=True)]
     if not both:
         return models, (0.0, 1.0, 1.0)
-    top = linear.fit(both, y[own], 2, rounds=400, rate=0.3)
+    top = linear.fit(both, y[own], 2, rounds=400)
     return models, (float(top.bias), float(max(top.weights[0], 0.05)), float(max(top.weights[1], 0.0)))
 
 

@@ -73,8 +73,15 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -50, 50)))
 
 
-def fit(rows, y: np.ndarray, size: int, rounds: int = 150, rate: float = 1.0, ridge: float = 1e-4, start: Logistic | None = None) -> Logistic:
-    """Adagrad over the whole sample, classes weighted alike, from `start` if given; rows: (features, values) of each example."""
+#: Value that the bias is trained as the weight of: near a text's own norm, so that it does not set the step length alone.
+CONSTANT = 0.3
+
+
+def fit(rows, y: np.ndarray, size: int, rounds: int = 150, ridge: float = 1e-5, start: Logistic | None = None) -> Logistic:
+    """Accelerated gradient descent over the whole sample, classes weighted alike, from `start` if given; rows: (features, values) of each example.
+
+    The step is the inverse of the loss's curvature bound. A feature moves by its share of the texts, so rare ones, which would learn the sample by heart, stay small.
+    """
     y = np.asarray(y, float)
     if not len(rows) or y.min() == y.max():
         return Logistic(np.zeros(size, np.float32), 0.0 if not len(rows) else (4.0 if y[0] else -4.0))
@@ -84,18 +91,17 @@ def fit(rows, y: np.ndarray, size: int, rounds: int = 150, rate: float = 1.0, ri
     of = np.repeat(np.arange(len(rows)), lens)
     at = np.concatenate([[0], np.cumsum(lens)])
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    w, b = (np.zeros(size), 0.0) if start is None else (start.weights.astype(np.float64), start.bias)
-    seen, seen_b = np.full(size, 1e-8), 1e-8
+    step = 4 / (float((share * segment_sums(value * value, at)).sum()) + CONSTANT**2 + ridge)
+    w = np.zeros(size + 1) if start is None else np.append(start.weights.astype(np.float64), start.bias / CONSTANT)
+    ahead, pace = w.copy(), 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(segment_sums(value * w[index], at) + b, -50, 50)))
+        p = 1 / (1 + np.exp(-np.clip(segment_sums(value * ahead[index], at) + CONSTANT * ahead[-1], -50, 50)))
         error = (p - y) * share
-        g = np.bincount(index, value * error[of], size) + ridge * w / size
-        seen += g * g
-        w -= rate * g / np.sqrt(seen)
-        gb = error.sum()
-        seen_b += gb * gb
-        b -= 0.5 * rate * gb / np.sqrt(seen_b)
-    return Logistic(w.astype(np.float32), float(b))
+        g = np.append(np.bincount(index, value * error[of], size), CONSTANT * error.sum()) + ridge * ahead
+        new, faster = ahead - step * g, (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        ahead = new + (pace - 1) / faster * (new - w)
+        w, pace = new, faster
+    return Logistic(w[:-1].astype(np.float32), float(CONSTANT * w[-1]))
 
 
 def calibrate(model: Logistic, raw: np.ndarray, y: np.ndarray) -> Logistic:
