@@ -91,17 +91,19 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edited text, which ends in the start of the next document's (by descending doc_id).
 
     Null texts count as empty; null ids come last. Rows equal in id and text hold one place in the order, and each
-    returns that place's values. A table of one document is its own next. An empty table gives no rows.
+    returns that place's values; next_id is the next document's id. A table of one document is its own next. An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"mark": F.xxhash64("text"), "n": F.length("text").cast("long")})
-    order = staged(successors(marked), "ranks")
-    # what a document needs to know: its rank, its next one's, and of whom it is the next with how many characters
-    asked = order.select(F.col("succ_r").alias("r"), F.col("r").alias("asker"), F.floor(F.col("n") / 3).alias("wanted"))
-    links = order.join(asked, "r").select("doc_id", F.col("mark").alias("m"), "r", "asker", "wanted")
-    rows = marked.withColumn("sketch", sketch(shingle_hashes(F.col("text")), k))
-    linked = rows.join(links.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).select("doc_id", "text", "n", "sketch", "r", "asker", "wanted")
-    heads = linked.select(F.col("asker").alias("r"), F.expr("left(text, cast(wanted as int))").alias("head"), F.col("sketch").alias("next_sketch")).groupBy("r").agg(F.first("head").alias("head"), F.first("next_sketch").alias("next_sketch"))
-    both = linked.select("doc_id", "text", "n", "sketch", "r").join(heads, "r")
+    order = staged(successors(marked), "ranks").withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    # what a document needs to know: of whom it is the next, and with how many characters
+    asked = order.select(F.col("succ_r").alias("r"), F.col("id").alias("asker"), F.col("mark").alias("asker_mark"), F.floor(F.col("n") / 3).alias("wanted"))
+    links = order.join(asked, "r").select("id", "mark", "asker", "asker_mark", "wanted")
+    rows = marked.withColumn("sketch", sketch(shingle_hashes(F.col("text")), k)).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    # both uses below need the same columns, and go on by the same keys: the texts are shuffled once
+    linked = rows.join(links, ["id", "mark"])
+    heads = linked.select(F.col("asker").alias("id"), F.col("asker_mark").alias("mark"), F.expr("left(text, cast(least(wanted, n) as int))").alias("head"), F.col("sketch").alias("next_sketch"), F.col("doc_id").alias("next_id"))
+    heads = heads.groupBy("id", "mark").agg(F.first("head").alias("head"), F.first("next_sketch").alias("next_sketch"), F.first("next_id").alias("next_id"))
+    both = linked.select("doc_id", "text", "n", "sketch", "id", "mark").join(heads, ["id", "mark"])
     edited = both.withColumn("edited", F.concat(F.expr("left(text, cast(n - floor(n / 3) as int))"), "head")).withColumn("edited_sketch", sketch(shingle_hashes(F.col("edited")), k))
-    return edited.select("doc_id", F.col("n").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), written(F.col("sketch")).alias("fingerprint"), written(F.col("edited_sketch")).alias("edited_fingerprint"), resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"))
+    return edited.select("doc_id", F.col("n").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), written(F.col("sketch")).alias("fingerprint"), written(F.col("edited_sketch")).alias("edited_fingerprint"), resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"), "next_id")
