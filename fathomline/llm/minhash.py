@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.storage import staged
@@ -63,9 +63,11 @@ def minima(own: np.ndarray) -> np.ndarray:
     return least
 
 
-def packed(least: np.ndarray) -> bytes:
+def packed(least: np.ndarray) -> np.ndarray:
+    """The low BITS of each minimum, packed into 64-bit numbers (zeros at the end)."""
     low = (mix(least) & U((1 << BITS) - 1)).astype(np.uint8)
-    return np.packbits(((low[:, None] >> np.arange(BITS, dtype=np.uint8)) & 1).reshape(-1)).tobytes()
+    packed_bytes = np.packbits(((low[:, None] >> np.arange(BITS, dtype=np.uint8)) & 1).reshape(-1))
+    return np.pad(packed_bytes, (0, -len(packed_bytes) % 8)).view(np.int64)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
@@ -75,12 +77,14 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def estimate(a: bytes, b: bytes) -> float:
-    """Similarity from equal low bits, corrected for minima that agree in them by chance."""
-    x = (np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8))
-    same = (np.unpackbits(x)[: PERMUTATIONS * BITS].reshape(-1, BITS).sum(1) == 0).mean()
+def estimate(a: Column, b: Column) -> Column:
+    """Similarity from the count of equal low bits (a pair of bits for each minimum), corrected for minima that agree in them by chance."""
+    unequal = F.lit(0)
+    for i in range(-(-PERMUTATIONS * BITS // 64)):
+        x = a[i].bitwiseXOR(b[i])
+        unequal += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     chance = 0.5**BITS
-    return (same - chance) / (1 - chance)
+    return (1 - unequal / PERMUTATIONS - chance) / (1 - chance)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -94,9 +98,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
             for first, end, data, at in slices(batch.column("text")):
                 sets = shingle_sets(data, at, width)
                 least = [minima(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary()), pa.array([None if m is None else packed(m) for m in least], pa.binary()), pa.array([None if m is None else band_keys(m).tolist() for m in least], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "signature", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary()), pa.array([None if m is None else packed(m).tolist() for m in least], pa.list_(pa.int64())), pa.array([None if m is None else band_keys(m).tolist() for m in least], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "signature", "bands"])
 
-    signed = staged(docs.select("doc_id", "text").mapInArrow(sign, f"{SETS}, signature binary, bands array<long>"), "signed")
+    signed = staged(docs.select("doc_id", "text").mapInArrow(sign, f"{SETS}, signature array<long>, bands array<long>"), "signed")
     ids = F.coalesce("doc_id", F.lit(-(1 << 63)))
     classes = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min(ids).alias("node"), F.min_by(F.struct("signature", "bands"), ids).alias("s"), F.max("n_shingles").alias("n"))
     nodes = staged(classes.select("node", "set_hash", "n", "s.signature", "s.bands"), "nodes")
@@ -174,14 +178,7 @@ def confirm(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) ->
     side = lambda s: info.select(F.col("set_hash").alias(s), F.col("signature").alias(f"g{s}"), F.col("n").alias(f"n{s}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
-    def likely(batches):
-        floor = percent / 100 - SLACK
-        for batch in batches:
-            a, b = batch.column("ga").to_pylist(), batch.column("gb").to_pylist()
-            keep = pa.array([estimate(x, y) >= floor for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
-
-    close = sized.mapInArrow(likely, "a binary, b binary")
+    close = sized.where(estimate(F.col("ga"), F.col("gb")) >= percent / 100 - SLACK).select("a", "b")
     both = close.join(sets.select(F.col("set_hash").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("set_hash").alias("b"), F.col("members").alias("y")), "b")
 
     def exact(batches):

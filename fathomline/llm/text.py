@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
