@@ -5,8 +5,9 @@ keys; of the minima themselves only the low BITS are kept, packed. Candidates sh
 similarity (bit counts, corrected for chance matches) lies far below the threshold are dropped, the rest are confirmed on the sets.
 
 Within a band bucket no pairs are listed wholesale: documents that are already linked through others need no comparison.
-In each round all members of a bucket that are not yet joined with its pivot are compared with it (each bucket of alike documents draws
-another pivot); once the pairs left are no more than the buckets have members, those of different parts are compared all. Should
+In each round all members of a bucket that are not yet joined with its pivot are compared with it. The first pivot of a bucket is the
+member whose own buckets are the fullest: what copies were made from, which all of a group's buckets then share. Later ones are drawn,
+in turn from the part that most members belong to and from any part. Once the pairs left are no more than the buckets have members, those of different parts are compared all. Should
 PIVOTS rounds not bring that about (buckets full of unlike documents), the bound is raised fourfold a round, so that the search stays exact.
 """
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.storage import staged
+from fathomline.llm.storage import discard, staged
 from fathomline.llm.text import U, mix, shingles, slices, words
 
 #: 40 bands of 5 rows: two sets of similarity 0.8 share no band with probability (1 - 0.8^5)^40 = 1.3e-7.
@@ -77,14 +78,29 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from the count of equal low bits (a pair of bits for each minimum), corrected for minima that agree in them by chance."""
+#: The first bit of each minimum's pair, in all of a 64-bit number.
+FIRST_BITS = 0x5555555555555555
+
+
+def corrected(unequal):
+    """Similarity from the number of minima whose low bits differ, corrected for those that agree in them by chance."""
+    chance = 0.5**BITS
+    return (1 - unequal / PERMUTATIONS - chance) / (1 - chance)
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two packed signatures, by bit counts."""
+    x = (a ^ b).view(U)
+    return corrected(int(np.bitwise_count((x | x >> U(1)) & U(FIRST_BITS)).sum()))
+
+
+def estimate_column(a: Column, b: Column) -> Column:
+    """estimate() of two columns of packed signatures."""
     unequal = F.lit(0)
     for i in range(-(-PERMUTATIONS * BITS // 64)):
         x = a[i].bitwiseXOR(b[i])
-        unequal += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    chance = 0.5**BITS
-    return (1 - unequal / PERMUTATIONS - chance) / (1 - chance)
+        unequal += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(FIRST_BITS)))
+    return corrected(unequal)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -106,8 +122,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     nodes = staged(classes.select("node", "set_hash", "n", "s.signature", "s.bands"), "nodes")
     # a node is one set
     banded = nodes.select("set_hash", F.posexplode("bands").alias("band", "key"))
-    full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = staged(banded.join(full, "key").select("key", "set_hash"), "members")
+    full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    members = staged(banded.join(full, "key").select("key", "set_hash", "c"), "members")
     links = confirmed_components(docs, nodes, members, width, percent)
     labelled = signed.select("doc_id", "n_shingles", "set_hash").join(links, "set_hash", "left")
     by_label = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min(ids).alias("low"))
@@ -122,17 +138,21 @@ def confirmed_components(docs: DataFrame, nodes: DataFrame, members: DataFrame,
     labels = nodes.select("set_hash", F.col("set_hash").alias("label"))
     if not members.take(1):
         return labels
-    candidates = staged(members.select("set_hash").distinct(), "candidates")
+    candidates = staged(members.groupBy("set_hash").agg(F.sum("c").alias("weight")), "candidates")
     sets = staged(candidate_sets(docs, candidates, width), "sets")
     info = nodes.select("set_hash", "signature", "n")
-    links, tried, round_ = None, None, 0
+    tried, round_ = None, 0
     # what may be compared pair by pair: as many pairs as the buckets have members
     limit = members.count() + 1000
-    current = candidates.select("set_hash", F.col("set_hash").alias("label"))
+    current = candidates.select("set_hash", F.col("set_hash").alias("label"), "weight")
     while True:
-        marked = members.join(current, "set_hash")
-        parts = marked.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.xxhash64("set_hash", "key", F.lit(round_))).alias("h"), F.min_by("set_hash", F.xxhash64("set_hash", "key", F.lit(round_))).alias("pivot"))
-        buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.min_by("label", "h").alias("pivot_label"), F.min_by("pivot", "h").alias("pivot")).where("parts > 1")
+        marked = members.select("key", "set_hash").join(current, "set_hash")
+        drawn = F.xxhash64("set_hash", F.lit(round_))
+        turn = F.struct(F.col("weight") if not round_ else F.lit(0).cast("long"), drawn.alias("h"))
+        parts = marked.groupBy("key", "label").agg(F.count("*").alias("c"), F.max(F.struct(turn.alias("turn"), "set_hash")).alias("top"))
+        first = F.struct("top.turn") if round_ % 2 else F.struct("c", "top.turn")
+        buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.max_by(F.struct("label", "top.set_hash"), first).alias("top")).where("parts > 1")
+        buckets = buckets.select("key", "c", "cc", F.col("top.label").alias("pivot_label"), F.col("top.set_hash").alias("pivot"))
         buckets = staged(buckets, "buckets")
         total = buckets.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0]
         if not total:
@@ -149,15 +169,15 @@ def confirmed_components(docs: DataFrame, nodes: DataFrame, members: DataFrame,
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         good = staged(confirm(pairs, info, sets, percent), "links")
-        links = good if links is None else staged(links.unionByName(good), "links")
-        current = components(candidates, links)
+        known = current.where("label != set_hash").select(F.col("set_hash").alias("a"), F.col("label").alias("b"))
+        current = components(candidates, known.unionByName(good))
         if last:
             break
-        tried = pairs if tried is None else staged(tried.unionByName(pairs), "tried")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         if round_ >= PIVOTS:
             limit *= 4
         round_ += 1
-    return labels.join(current.withColumnRenamed("label", "found"), "set_hash", "left").select("set_hash", F.coalesce("found", "label").alias("label"))
+    return labels.join(current.select("set_hash", F.col("label").alias("found")), "set_hash", "left").select("set_hash", F.coalesce("found", "label").alias("label"))
 
 
 def candidate_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
@@ -178,7 +198,7 @@ def confirm(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) ->
     side = lambda s: info.select(F.col("set_hash").alias(s), F.col("signature").alias(f"g{s}"), F.col("n").alias(f"n{s}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
-    close = sized.where(estimate(F.col("ga"), F.col("gb")) >= percent / 100 - SLACK).select("a", "b")
+    close = sized.where(estimate_column(F.col("ga"), F.col("gb")) >= percent / 100 - SLACK).select("a", "b")
     both = close.join(sets.select(F.col("set_hash").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("set_hash").alias("b"), F.col("members").alias("y")), "b")
 
     def exact(batches):
@@ -204,9 +224,10 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(floor, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = staged(small, "edges")
+        edges, old = staged(small, "edges"), edges
+        discard(old)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
         before = state
-    return vertices.join(edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "set_hash"), "set_hash", "left").select("set_hash", F.coalesce("label", "set_hash").alias("label"))
+    return vertices.join(edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "set_hash"), "set_hash", "left").select("set_hash", F.coalesce("label", "set_hash").alias("label"), "weight")

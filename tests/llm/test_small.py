@@ -166,6 +166,15 @@ def test_estimate():
     assert abs(guess - 800 / 1200) < 0.15
 
 
+def test_estimate_column(spark):
+    sets = [np.unique(RNG.integers(0, 1 << 40, 300).astype(np.uint64)) for _ in range(3)]
+    sets.append(np.concatenate([sets[0][:250], sets[1][:50]]))
+    packed = [minhash.packed(minhash.minima(s)) for s in sets]
+    rows = spark.createDataFrame([(a.tolist(), b.tolist(), minhash.estimate(a, b)) for a in packed for b in packed], "a array<long>, b array<long>, guess double")
+    for r in rows.select("guess", minhash.estimate_column(rows.a, rows.b).alias("got")).collect():
+        assert abs(r.guess - r.got) < 1e-9
+
+
 def test_repeated_passages(docs, none):
     got = {(r.first_doc_id, r.doc_id): r for r in substring.repeated_passages(docs).collect()}
     assert got[0, 1].n_words == 120 and got[0, 1].identity == 1
