@@ -7,8 +7,10 @@ similarity (bit counts, corrected for chance matches) lies far below the thresho
 Within a band bucket no pairs are listed wholesale: documents that are already linked through others need no comparison.
 In each round all members of a bucket that are not yet joined with its pivot are compared with it. The first pivot of a bucket is the
 member whose own buckets are the fullest: what copies were made from, which all of a group's buckets then share. Later ones are drawn,
-in turn from the part that most members belong to and from any part. Once the pairs left are no more than the buckets have members, those of different parts are compared all. Should
-PIVOTS rounds not bring that about (buckets full of unlike documents), the bound is raised fourfold a round, so that the search stays exact.
+in turn from the part that most members belong to and from any part. Shingles that no other open set has are in no intersection: sets
+with too many of them leave, and pairs that the others' number rules out are not listed. Once the comparisons left are no more than
+COMPARISONS for each member, those of different parts are made all. Should PIVOTS rounds not bring that about (buckets full of alike
+documents below the threshold), the bound is raised fourfold a round, so that the search stays exact.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ PERMUTATIONS, BITS = BANDS * ROWS, 2
 #: Estimates this far below the threshold are dropped: over six standard deviations of the estimate at 0.8.
 SLACK = 0.25
 PIVOTS = 2
+#: Comparisons of two numbers inside a join, for each member of a bucket.
+COMPARISONS = 100
 _rng = np.random.Generator(np.random.PCG64(5))
 MULTIPLY = _rng.integers(1, 1 << 62, PERMUTATIONS, dtype=U) * U(2) + U(1)
 ADD = _rng.integers(1, 1 << 62, PERMUTATIONS, dtype=U)
@@ -140,30 +144,37 @@ def confirmed_components(docs: DataFrame, nodes: DataFrame, members: DataFrame,
         return labels
     candidates = staged(members.groupBy("set_hash").agg(F.sum("c").alias("weight")), "candidates")
     sets = staged(candidate_sets(docs, candidates, width), "sets")
-    info = nodes.select("set_hash", "signature", "n")
+    info = nodes.select("set_hash", "signature")
     tried, round_ = None, 0
-    # what may be compared pair by pair: as many pairs as the buckets have members
-    limit = members.count() + 1000
+    limit = COMPARISONS * members.count()
+    # most: how many of the n shingles another set may have
+    members, settled = members.join(nodes.select("set_hash", "n", F.col("n").alias("most")), "set_hash").select("key", "set_hash", "n", "most"), False
     current = candidates.select("set_hash", F.col("set_hash").alias("label"), "weight")
     while True:
-        marked = members.select("key", "set_hash").join(current, "set_hash")
+        marked = members.join(current, "set_hash")
         drawn = F.xxhash64("set_hash", F.lit(round_))
         turn = F.struct(F.col("weight") if not round_ else F.lit(0).cast("long"), drawn.alias("h"))
-        parts = marked.groupBy("key", "label").agg(F.count("*").alias("c"), F.max(F.struct(turn.alias("turn"), "set_hash")).alias("top"))
+        parts = marked.groupBy("key", "label").agg(F.count("*").alias("c"), F.max(F.struct(turn.alias("turn"), "set_hash", "n", "most")).alias("top"))
         first = F.struct("top.turn") if round_ % 2 else F.struct("c", "top.turn")
-        buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.max_by(F.struct("label", "top.set_hash"), first).alias("top")).where("parts > 1")
-        buckets = buckets.select("key", "c", "cc", F.col("top.label").alias("pivot_label"), F.col("top.set_hash").alias("pivot"))
+        buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.max_by(F.struct("label", "top.set_hash", "top.n", "top.most"), first).alias("top")).where("parts > 1")
+        buckets = buckets.select("key", "c", "cc", F.col("top.label").alias("pivot_label"), F.col("top.set_hash").alias("pivot"), F.col("top.n").alias("nb"), F.col("top.most").alias("mb"))
         buckets = staged(buckets, "buckets")
         total = buckets.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0]
         if not total:
             break
-        last = total <= limit
+        if round_ and not settled:
+            open_ = marked.join(buckets.select("key"), "key", "left_semi").select("key", "set_hash", "n")
+            members, settled = staged(shared_members(open_, sets, percent), "members"), True
+            continue
+        last = bool(round_) and total <= limit
+        possible = f"{100 + percent} * least(ma, mb) >= {percent} * (na + nb)"
         if last:
             open_ = marked.join(buckets.select("key"), "key")
-            other = open_.select("key", F.col("set_hash").alias("b"), F.col("label").alias("lb"))
-            pairs = open_.select("key", F.col("set_hash").alias("a"), F.col("label").alias("la")).join(other, "key").where("a < b AND la != lb").select("a", "b")
+            one, other = (open_.select("key", F.col("set_hash").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("most").alias(f"m{s}")) for s in "ab")
+            pairs = one.join(other, "key").where("a < b AND la != lb").where(possible).select("a", "b")
         else:
-            pairs = marked.join(buckets.select("key", "pivot", "pivot_label"), "key").where("label != pivot_label").select(F.least("set_hash", "pivot").alias("a"), F.greatest("set_hash", "pivot").alias("b"))
+            near = marked.withColumnsRenamed({"n": "na", "most": "ma"}).join(buckets.select("key", "pivot", "pivot_label", "nb", "mb"), "key")
+            pairs = near.where("label != pivot_label").where(possible).select(F.least("set_hash", "pivot").alias("a"), F.greatest("set_hash", "pivot").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -176,10 +187,29 @@ def confirmed_components(docs: DataFrame, nodes: DataFrame, members: DataFrame,
         tried = pairs if tried is None else tried.unionByName(pairs)
         if round_ >= PIVOTS:
             limit *= 4
-        round_ += 1
+        round_, settled = round_ + 1, False
     return labels.join(current.select("set_hash", F.col("label").alias("found")), "set_hash", "left").select("set_hash", F.coalesce("found", "label").alias("label"))
 
 
+def shared_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`members` (key, set_hash, n) with `most`, the number of shingles that some other set of them has too; sets of which that is too few to be linked go."""
+
+    def each(batches):
+        for batch in batches:
+            for name, own in zip(batch.column("set_hash"), batch.column("members"), strict=True):
+                h, values = np.frombuffer(name.as_buffer(), ">i8"), np.frombuffer(own.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), h[0], np.int64)), pa.array(np.full(len(values), h[1], np.int64))], ["shingle", "high", "low"])
+
+    open_ = members.select("set_hash", "n").distinct()
+    rows = sets.join(open_, "set_hash", "left_semi").mapInArrow(each, "shingle long, high long, low long")
+    # of one set only: its name is the least of one
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("high").alias("high"), F.min("low").alias("low")).where("c = 1").groupBy("high", "low").agg(F.count("*").alias("alone"))
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")
+    alone = alone.select(F.unhex(F.concat(digits("high"), digits("low"))).alias("set_hash"), "alone")
+    most = open_.join(alone, "set_hash", "left").select("set_hash", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"), "n").where(f"100 * most >= {percent} * n")
+    return members.select("key", "set_hash").join(most, "set_hash").select("key", "set_hash", "n", "most")
+
+
 def candidate_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
     """(set_hash, members) of the candidate sets, made anew from the texts rather than kept for all of them."""
 
@@ -195,8 +225,8 @@ def candidate_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFr
 
 def confirm(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: estimates first, then the full sets."""
-    side = lambda s: info.select(F.col("set_hash").alias(s), F.col("signature").alias(f"g{s}"), F.col("n").alias(f"n{s}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    side = lambda s: info.select(F.col("set_hash").alias(s), F.col("signature").alias(f"g{s}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b")
 
     close = sized.where(estimate_column(F.col("ga"), F.col("gb")) >= percent / 100 - SLACK).select("a", "b")
     both = close.join(sets.select(F.col("set_hash").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("set_hash").alias("b"), F.col("members").alias("y")), "b")
