@@ -29,6 +29,8 @@ PERMUTATIONS, BITS = BANDS * ROWS, 2
 #: Estimates this far below the threshold are dropped: over six standard deviations of the estimate at 0.8.
 SLACK = 0.25
 PIVOTS = 2
+#: Shingles fall into so many parts by hash; the sum of the lesser counts of each part bounds an intersection.
+SHARES = 8
 #: Comparisons of two numbers inside a join, for each member of a bucket.
 COMPARISONS = 100
 _rng = np.random.Generator(np.random.PCG64(5))
@@ -170,8 +172,9 @@ def confirmed_components(docs: DataFrame, nodes: DataFrame, members: DataFrame,
         possible = f"{100 + percent} * least(ma, mb) >= {percent} * (na + nb)"
         if last:
             open_ = marked.join(buckets.select("key"), "key")
-            one, other = (open_.select("key", F.col("set_hash").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("most").alias(f"m{s}")) for s in "ab")
-            pairs = one.join(other, "key").where("a < b AND la != lb").where(possible).select("a", "b")
+            one, other = (open_.select("key", F.col("set_hash").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("most").alias(f"m{s}"), F.col("shares").alias(f"s{s}")) for s in "ab")
+            both = sum((F.least(F.col("sa")[i], F.col("sb")[i]) for i in range(SHARES)), F.lit(0))
+            pairs = one.join(other, "key").where("a < b AND la != lb").where(possible).where((100 + percent) * both >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
         else:
             near = marked.withColumnsRenamed({"n": "na", "most": "ma"}).join(buckets.select("key", "pivot", "pivot_label", "nb", "mb"), "key")
             pairs = near.where("label != pivot_label").where(possible).select(F.least("set_hash", "pivot").alias("a"), F.greatest("set_hash", "pivot").alias("b"))
@@ -192,7 +195,7 @@ def confirmed_components(docs: DataFrame, nodes: DataFrame, members: DataFrame,
 
 
 def shared_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """`members` (key, set_hash, n) with `most`, the number of shingles that some other set of them has too; sets of which that is too few to be linked go."""
+    """`members` (key, set_hash, n) with `most`, the number of shingles that some other set of them has too, and `shares`, how many of these fall in each part; sets of which that is too few to be linked go."""
 
     def each(batches):
         for batch in batches:
@@ -203,11 +206,15 @@ def shared_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     open_ = members.select("set_hash", "n").distinct()
     rows = sets.join(open_, "set_hash", "left_semi").mapInArrow(each, "shingle long, high long, low long")
     # of one set only: its name is the least of one
-    alone = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("high").alias("high"), F.min("low").alias("low")).where("c = 1").groupBy("high", "low").agg(F.count("*").alias("alone"))
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("high").alias("high"), F.min("low").alias("low")).where("c = 1")
+    part = F.pmod("shingle", F.lit(SHARES))
+    alone = alone.groupBy("high", "low").agg(F.count("*").alias("alone"), *(F.count_if(part == i).alias(f"alone{i}") for i in range(SHARES)))
     digits = lambda c: F.lpad(F.hex(c), 16, "0")
-    alone = alone.select(F.unhex(F.concat(digits("high"), digits("low"))).alias("set_hash"), "alone")
-    most = open_.join(alone, "set_hash", "left").select("set_hash", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"), "n").where(f"100 * most >= {percent} * n")
-    return members.select("key", "set_hash").join(most, "set_hash").select("key", "set_hash", "n", "most")
+    alone = alone.select(F.unhex(F.concat(digits("high"), digits("low"))).alias("set_hash"), *(c for c in alone.columns if c not in ("high", "low")))
+    left = lambda total, gone: total - F.coalesce(gone, F.lit(0))
+    judged = open_.join(sets.select("set_hash", "shares"), "set_hash").join(alone, "set_hash", "left")
+    most = judged.select("set_hash", "n", left(F.col("n"), "alone").alias("most"), F.array(*(left(F.col("shares")[i], f"alone{i}") for i in range(SHARES))).alias("shares")).where(f"100 * most >= {percent} * n")
+    return members.select("key", "set_hash").join(most, "set_hash").select("key", "set_hash", "n", "most", "shares")
 
 
 def candidate_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
@@ -217,9 +224,9 @@ def candidate_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFr
         for batch in batches:
             for _, _, data, at in slices(batch.column("text")):
                 sets = [s for s in shingle_sets(data, at, width) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_hash", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.bincount((s % U(SHARES)).astype(np.int64), minlength=SHARES).tolist() for s in sets], pa.list_(pa.int32()))], ["set_hash", "members", "shares"])
 
-    made = docs.select("text").mapInArrow(build, "set_hash binary, members binary")
+    made = docs.select("text").mapInArrow(build, "set_hash binary, members binary, shares array<int>")
     return made.join(candidates, "set_hash", "left_semi").dropDuplicates(["set_hash"])
 
 
