@@ -194,6 +194,12 @@ def test_chains():
     assert [0, 1, 2, 3] in [c.tolist() for c in found] and sorted(i for c in found for i in c) == list(range(6))
 
 
+def test_far_chain_displaces_no_near_one():
+    x = np.concatenate([np.arange(0, 800, 8), 1000 + np.arange(0, 96, 24)])
+    y = np.concatenate([np.arange(0, 800, 8), 1000 + np.arange(0, 96, 24) + np.arange(4)])
+    assert list(range(100, 104)) in [c.tolist() for c in substring.chains(x, y)]
+
+
 def test_fingerprints(docs, none):
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
     order = sorted(range(len(TEXTS)), reverse=True)
