@@ -194,6 +194,15 @@ def test_chains():
     assert [0, 1, 2, 3] in [c.tolist() for c in found] and sorted(i for c in found for i in c) == list(range(6))
 
 
+def test_fifth_of_words_changed(spark):
+    rows = []
+    for k in range(60):
+        w, step = prose(60 + k).split(), (5, 6, 7, 8)[k % 4]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(f"x{i}" if i % step == 4 else v for i, v in enumerate(w)))]
+    got = {(r.first_doc_id, r.doc_id) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(2 * k, 2 * k + 1) for k in range(60)} <= got
+
+
 def test_far_chain_displaces_no_near_one():
     x = np.concatenate([np.arange(0, 800, 8), 1000 + np.arange(0, 96, 24)])
     y = np.concatenate([np.arange(0, 800, 8), 1000 + np.arange(0, 96, 24) + np.arange(4)])
