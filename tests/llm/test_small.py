@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -203,6 +204,30 @@ def test_fifth_of_words_changed(spark):
     assert {(2 * k, 2 * k + 1) for k in range(60)} <= got
 
 
+def test_parts_in_earlier_documents(spark):
+    rows = []
+    for k in range(40):
+        w = [f"{v}{k}" for v in prose(60).split()]
+        w[25:35] = [f"{v}x" if i % 4 == 3 else v for i, v in enumerate(w[25:35])]
+        fuzzy = [f"{v}y" if 27 <= i < 33 else v for i, v in enumerate(w)]
+        rows += [(4 * k, " ".join(w[:30])), (4 * k + 1, " ".join(w[30:])), (4 * k + 2, " ".join(w)), (4 * k + 3, " ".join(fuzzy))]
+    got = {(r.first_doc_id, r.doc_id) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(4 * k + 2, 4 * k + 3) for k in range(40)} <= got
+
+
+def test_links_across_batches():
+    rows = [(s, d, a) for s, n in ((1, 9), (2, 1), (3, 6)) for d, a in sorted((10 * s + int(RNG.integers(0, 4)), i) for i in range(n))]
+    want = set()
+    for i, (s, d, a) in enumerate(rows):
+        earlier = [r for r in rows[:i] if r[0] == s]
+        if earlier:
+            want |= {(*r[1:], d, a) for r in (earlier[0], earlier[-1], *[r for r in earlier if r[1] < d][-1:])}
+    for size in (1, 2, 5, 16):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size], strict=True)], ["seed", "doc_id", "at"]) for i in range(0, len(rows), size)]
+        got = [(r["first_doc_id"], r["x"], r["doc_id"], r["y"]) for b in substring.link_rows(batches) for r in b.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_far_chain_displaces_no_near_one():
     x = np.concatenate([np.arange(0, 800, 8), 1000 + np.arange(0, 96, 24)])
     y = np.concatenate([np.arange(0, 800, 8), 1000 + np.arange(0, 96, 24) + np.arange(4)])
