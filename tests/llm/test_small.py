@@ -228,6 +228,13 @@ def test_links_across_batches():
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_stray_copy_before_a_passage(spark):
+    w = prose(60)
+    rows = [(0, w), (1, f"{prose(50)} {' '.join(w.split()[:8])} {prose(22)} {w} {prose(20)}")]
+    got = [(r.start_word, r.end_word) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert any(a <= 80 and b >= 140 for a, b in got)
+
+
 def test_far_chain_displaces_no_near_one():
     x = np.concatenate([np.arange(0, 800, 8), 1000 + np.arange(0, 96, 24)])
     y = np.concatenate([np.arange(0, 800, 8), 1000 + np.arange(0, 96, 24) + np.arange(4)])
