@@ -2,7 +2,7 @@
 
 Byte-level BPE never merges across the places where its pattern splits. `pieces` cuts texts at a subset of those places
 (before a space that follows a visible character, after a line break or tab, between an ASCII letter and punctuation),
-so the ids of a text are those of its pieces, one after the other. Pieces are known by a 64-bit hash of their bytes;
+so the ids of a text are those of its pieces, one after the other. The text of an added token gives that token's id. Pieces are known by a 64-bit hash of their bytes;
 what a worker has encoded stays, up to `KEPT` pieces.
 """
 
@@ -24,8 +24,8 @@ PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = T
 _encoders: dict[str, Encoder] = {}
 
 
-def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the pieces, and the number of them in each text."""
+def pieces(data: np.ndarray, at: np.ndarray, added: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the pieces, and the number of them in each text. No cut is inside the text of an added token."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
@@ -33,6 +33,12 @@ def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before, now = data[:-1], data[1:]
     cut = np.zeros(n, bool)
     cut[1:] = (space[1:] & ~space[:-1] & ~WIDE_SPACE_END[before]) | (space[:-1] & (before != 32) & ~space[1:] & (now < 128)) | (LETTER[before] & PUNCTUATION[now])
+    raw = data.tobytes() if added else b""
+    for token in added:
+        spot = raw.find(token)
+        while spot >= 0:
+            cut[spot + 1 : spot + len(token)] = False
+            spot = raw.find(token, spot + 1)
     cut[at[:-1][at[:-1] < n]] = True
     starts = np.flatnonzero(cut)
     return starts, np.diff(np.searchsorted(starts, at))
@@ -41,7 +47,7 @@ def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.forget()
 
     def forget(self) -> None:
@@ -66,7 +72,7 @@ class Encoder:
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these texts, and how many each has."""
-        start, counts = pieces(data, at)
+        start, counts = pieces(data, at, self.added)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
         end = np.append(start[1:], len(data))

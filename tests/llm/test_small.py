@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from fathomline.llm import cotraining, fingerprints, linear, lm, minhash, mixing, packing, quality_rules, substring, token_files, url_filter
+from fathomline.llm import cotraining, encoder, fingerprints, linear, lm, minhash, mixing, packing, quality_rules, substring, token_files, url_filter
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,6 +80,14 @@ def test_pfor_round_trip(n):
     assert (token_files.unpack(b"".join(blocks), starts) == ids).all()
 
 
+def test_added_tokens():
+    texts = ["the end <|endoftext|> of", "a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|>\n <|endoftext|><|endoftext|> y", "a <|endoftext", "|> b", ""]
+    t = Tokenizer.from_file(VOCABULARY)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    ids, counts = encoder.Encoder(VOCABULARY)(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want and 50256 in want[0]
+
+
 def test_packing(docs, none):
     rows, by = packing.best_fit_packing(docs, VOCABULARY).collect(), defaultdict(list)
     seq = defaultdict(list)
