@@ -109,20 +109,21 @@ def estimate_column(a: Column, b: Column) -> Column:
     return corrected(unequal)
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text).
 
     Links: 100 * intersection >= percent * union of the shingle sets. Null or empty texts have an empty set and are their own
     component. Repeated rows are nodes of their own, linked by their equal sets. A null doc_id takes part like any other; it comes first, so its component has a null id. An empty table gives no rows.
+    With `also`, these columns of `docs` too, and label, which tells apart components whose ids are equal (null: no words).
     """
     def sign(batches):
         for batch in batches:
             for first, end, data, at in slices(batch.column("text")):
                 sets = shingle_sets(data, at, width)
                 least = [minima(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary()), pa.array([None if m is None else packed(m).tolist() for m in least], pa.list_(pa.int64())), pa.array([None if m is None else band_keys(m).tolist() for m in least], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "signature", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary()), pa.array([None if m is None else packed(m).tolist() for m in least], pa.list_(pa.int64())), pa.array([None if m is None else band_keys(m).tolist() for m in least], pa.list_(pa.int64())), *(batch.column(c).slice(first, end - first) for c in also)], ["doc_id", "n_shingles", "set_hash", "signature", "bands", *also])
 
-    signed = staged(docs.select("doc_id", "text").mapInArrow(sign, f"{SETS}, signature array<long>, bands array<long>"), "signed")
+    signed = staged(docs.select("doc_id", "text", *also).mapInArrow(sign, ", ".join([f"{SETS}, signature array<long>, bands array<long>", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in also)])), "signed")
     ids = F.coalesce("doc_id", F.lit(-(1 << 63)))
     classes = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min(ids).alias("node"), F.min_by(F.struct("signature", "bands"), ids).alias("s"), F.max("n_shingles").alias("n"))
     nodes = staged(classes.select("node", "set_hash", "n", "s.signature", "s.bands"), "nodes")
@@ -131,12 +132,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = staged(banded.join(full, "key").select("key", "set_hash", "c"), "members")
     links = confirmed_components(docs, nodes, members, width, percent)
-    labelled = signed.select("doc_id", "n_shingles", "set_hash").join(links, "set_hash", "left")
+    labelled = signed.select("doc_id", "n_shingles", "set_hash", *also).join(links, "set_hash", "left")
     by_label = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min(ids).alias("low"))
     named = labelled.join(by_label, "label", "left")
     component = F.when(F.col("n_shingles") == 0, ids).otherwise(F.col("low"))
     component = F.when(component == -(1 << 63), F.lit(None).cast("long")).otherwise(component)
-    return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), *also, *(["label"] if also else [])).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def confirmed_components(docs: DataFrame, nodes: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
