@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -41,9 +40,3 @@ def discard(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Has Spark drop the shuffle files of tables that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
