@@ -1,7 +1,8 @@
 """Token ids of many texts by the tokenizers library, each distinct piece of text encoded once.
 
 Byte-level BPE never merges across the places where its pattern splits. `pieces` cuts texts at a subset of those places
-(before a space that follows a visible character, after a line break or tab, between an ASCII letter and punctuation),
+(before a space that follows a visible character, after a line break or tab that stands alone, between an ASCII letter and punctuation;
+the last of several white spaces goes with what follows, so no cut is after those),
 so the ids of a text are those of its pieces, one after the other. The text of an added token gives that token's id. Pieces are known by a 64-bit hash of their bytes;
 what a worker has encoded stays, up to `KEPT` pieces.
 """
@@ -32,7 +33,9 @@ def pieces(data: np.ndarray, at: np.ndarray, added: tuple[bytes, ...] = ()) -> t
     space = IS_SPACE[data]
     before, now = data[:-1], data[1:]
     cut = np.zeros(n, bool)
-    cut[1:] = (space[1:] & ~space[:-1] & ~WIDE_SPACE_END[before]) | (space[:-1] & (before != 32) & ~space[1:] & (now < 128)) | (LETTER[before] & PUNCTUATION[now])
+    alone = space[:-1] & (before != 32)
+    alone[1:] &= ~space[:-2] & ~WIDE_SPACE_END[data[:-2]]
+    cut[1:] = (space[1:] & ~space[:-1] & ~WIDE_SPACE_END[before]) | (alone & ~space[1:] & (now < 128)) | (LETTER[before] & PUNCTUATION[now])
     raw = data.tobytes() if added else b""
     for token in added:
         spot = raw.find(token)

@@ -10,12 +10,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Spark's setting that frees a query's shuffle files when it has ended.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only where the cluster names none (tests) is a folder of this machine set."""
+    """The cluster's shared folder. Only a session on one machine (tests) that names none gets a folder of this machine."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='fathomline-')}"
         spark.conf.set(SETTING, found)
         spark.sparkContext.setCheckpointDir(found)
@@ -28,10 +32,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a written table: later jobs read what this one computed, whichever executors are lost meanwhile."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` as a written table: later jobs read what this one computed, whichever executors are lost meanwhile. Its shuffle files go once it is written."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(FREE, "false")
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

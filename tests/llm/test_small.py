@@ -54,7 +54,6 @@ def words(t):
 
 def token_ids(end):
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in TEXTS]
 
 
@@ -88,6 +87,17 @@ def test_added_tokens():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want and 50256 in want[0]
 
 
+def test_encoder_equals_the_tokenizer():
+    parts = ["a", "Word", "two words", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\v\f", "\u00a0", "\u2003", "\u3000", "\u2028", "\u0085", "é", "ß", "日本", "\u0301", "'s", "'", "don't", "12", "٣", ".", "!?", "<", "|>", "<|endoftext|>", "😀", "\x00", "\x1c", "\ufeff"]
+    texts = ["".join(RNG.choice(parts, RNG.integers(0, 12))) for _ in range(10_000)] + ["First paragraph.\n\nSecond paragraph."]
+    want = [e.ids for e in Tokenizer.from_file(VOCABULARY).encode_batch(texts, add_special_tokens=False)]
+    own = encoder.Encoder(VOCABULARY)
+    for first in range(0, len(texts), 1000):
+        some = [t.encode() for t in texts[first : first + 1000]]
+        ids, counts = own(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[first : first + 1000]
+
+
 def test_packing(docs, none):
     rows, by = packing.best_fit_packing(docs, VOCABULARY).collect(), defaultdict(list)
     seq = defaultdict(list)
