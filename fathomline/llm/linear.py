@@ -75,29 +75,39 @@ class Logistic:
 
 #: Value that the bias is trained as the weight of: near a text's own norm, so that it does not set the step length alone.
 CONSTANT = 0.3
+#: Values of whole examples that a training step takes at once.
+BLOCK = 1 << 19
 
 
 def fit(rows, y: np.ndarray, size: int, rounds: int = 150, ridge: float = 1e-5, start: Logistic | None = None) -> Logistic:
     """Accelerated gradient descent over the whole sample, classes weighted alike, from `start` if given; rows: (features, values) of each example.
 
     The step is the inverse of the loss's curvature bound. A feature moves by its share of the texts, so rare ones, which would learn the sample by heart, stay small.
+    Examples of fewer than two classes teach nothing: all weights are zero.
     """
     y = np.asarray(y, float)
     if not len(rows) or y.min() == y.max():
-        return Logistic(np.zeros(size, np.float32), 0.0 if not len(rows) else (4.0 if y[0] else -4.0))
-    index = np.concatenate([i for i, _ in rows])
-    value = np.concatenate([v for _, v in rows]).astype(np.float64)
+        return Logistic(np.zeros(size, np.float32), 0.0)
     lens = np.array([len(i) for i, _ in rows])
-    of = np.repeat(np.arange(len(rows)), lens)
     at = np.concatenate([[0], np.cumsum(lens)])
+    blocks, first = [], 0
+    while first < len(rows):
+        end = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK, "right")) - 1)
+        own = rows[first:end]
+        blocks.append((slice(first, end), np.concatenate([i for i, _ in own]).astype(np.int32), np.concatenate([v for _, v in own]).astype(np.float32), at[first : end + 1] - at[first]))
+        first = end
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    step = 4 / (float((share * segment_sums(value * value, at)).sum()) + CONSTANT**2 + ridge)
+    norm = np.concatenate([segment_sums(v.astype(np.float64) ** 2, a) for _, _, v, a in blocks])
+    step = 4 / (float((share * norm).sum()) + CONSTANT**2 + ridge)
     w = np.zeros(size + 1) if start is None else np.append(start.weights.astype(np.float64), start.bias / CONSTANT)
     ahead, pace = w.copy(), 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(segment_sums(value * ahead[index], at) + CONSTANT * ahead[-1], -50, 50)))
-        error = (p - y) * share
-        g = np.append(np.bincount(index, value * error[of], size), CONSTANT * error.sum()) + ridge * ahead
+        g = ridge * ahead
+        for part, index, value, a in blocks:
+            p = 1 / (1 + np.exp(-np.clip(segment_sums(value * ahead[index], a) + CONSTANT * ahead[-1], -50, 50)))
+            error = (p - y[part]) * share[part]
+            g[:-1] += np.bincount(index, value * np.repeat(error, np.diff(a)), size)
+            g[-1] += CONSTANT * error.sum()
         new, faster = ahead - step * g, (1 + (1 + 4 * pace * pace) ** 0.5) / 2
         ahead = new + (pace - 1) / faster * (new - w)
         w, pace = new, faster

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from fathomline.llm import linear
 from fathomline.llm.text import code_points, segment_sums, shingles, slices, span_hashes, words
 
-#: Labelled rows that the classifier is fitted on, of each class at most.
-SAMPLE = 1500
+#: Labelled rows that the classifier is fitted on, of each class at most, and bytes of each one's text.
+SAMPLE, LONGEST = 1500, 1 << 14
 THRESHOLD = 0.5
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -65,46 +67,60 @@ def base_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """Up to `most` labelled documents of each class, by a hash of their id."""
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, `also` and y of up to `most` labelled documents of each class, by a hash of their id, one row for each id; texts over LONGEST bytes are not among them."""
     known = labels.select("doc_id", F.col(label).alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64("doc_id", F.lit(7))
     chosen = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(most) for y in (0, 1)]
-    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
-    return docs.select("doc_id", "text").join(chosen, "doc_id")
+    return examples_of(docs, chosen[0].unionByName(chosen[1]), also)  # at most 2 * most
 
 
-def example_features(rows: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(doc_id, label, features, values), gathered from the bounded sample."""
+def examples_of(docs: DataFrame, chosen: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Texts and `also` of the few documents in `chosen` (doc_id, ...), one row for each id, with the columns of `chosen`."""
+    found = docs.where(F.octet_length("text") <= LONGEST).select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("text", *also).alias("row")).join(F.broadcast(chosen), "doc_id")
+    names = [c for c in chosen.columns if c != "doc_id"]
+    one = found.groupBy("doc_id").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in names))
+    return one.select("doc_id", "row.*", *names)
 
-    def extract(batches):
-        for batch in batches:
-            for first, end, data, at in slices(batch.column("text")):
-                found = linear.features(data, at)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), batch.column("y").slice(first, end - first).cast(pa.int32()), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["doc_id", "y", "i", "v"])
 
-    got = rows.mapInArrow(extract, "doc_id long, y int, i binary, v binary").collect()
-    return sorted(((r.doc_id, r.y, np.frombuffer(r.i, np.int32), np.frombuffer(r.v, np.float32)) for r in got), key=lambda r: (r[0], len(r[2])))
+def one_task(rows: DataFrame, work):
+    """What `work` makes of the list of rows' batches, in one task of an executor; None where there are no rows. Only for bounded tables."""
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work(got))], pa.binary())], ["result"])
 
+    found = rows.repartition(1).mapInArrow(run, "result binary").collect()
+    return pickle.loads(found[0].result) if found else None
 
-def train(examples) -> linear.Logistic:
-    """Fitted on four fifths of the examples, calibrated on the rest."""
-    if not examples:
-        return linear.Logistic(np.zeros(linear.KINDS << linear.BITS, np.float32), 0.0)
+
+def train(batches) -> linear.Logistic:
+    """Fitted on four fifths of the examples (doc_id, text, y), calibrated on the rest."""
+    examples = []
+    for batch in batches:
+        ids, y = batch.column("doc_id").to_pylist(), batch.column("y").to_pylist()
+        for first, end, data, at in slices(batch.column("text")):
+            examples += zip(ids[first:end], y[first:end], linear.features(data, at), strict=True)
+    examples.sort(key=lambda e: e[0])
     held = linear.spread(np.array([e[0] for e in examples])) < 0.2
-    y = np.array([e[1] for e in examples])
-    rows = [(e[2], e[3]) for e in examples]
+    y, rows = np.array([e[1] for e in examples]), [e[2] for e in examples]
     model = linear.fit([r for r, h in zip(rows, held, strict=True) if not h], y[~held], linear.KINDS << linear.BITS)
     return linear.calibrate(model, model.raw([r for r, h in zip(rows, held, strict=True) if h]), y[held])
 
 
+def fitted(docs: DataFrame, labels: DataFrame, most: int) -> linear.Logistic:
+    """The classifier of labelled `quality`; without labels of both classes one that scores everything a half."""
+    return one_task(sample_rows(docs, labels, "quality", most), train) or linear.Logistic(np.zeros(linear.KINDS << linear.BITS, np.float32), 0.0)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
     """Counts, calibrated score and verdict of every document.
 
-    Null text has no words and fails the base rules. Without labels of both classes the classifier keeps what passes the
-    base rules. Repeated rows are judged each; an empty table gives no rows; other columns are not read.
+    Null text has no words and fails the base rules; a text of any length is judged whole. Without labels of both classes every score is a
+    half, and what passes the base rules is kept. Repeated rows are judged each, a null id like any other; an empty table gives no rows; other columns, whatever their names, are not read.
     """
-    model = train(example_features(sample_rows(docs, labels, "quality", most)))
+    model = fitted(docs, labels, most)
     weights, bias, slope, shift = model.weights, model.bias, model.slope, model.shift
 
     def judge(batches):

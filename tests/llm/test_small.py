@@ -162,6 +162,45 @@ def test_quality_classifier(docs, labels, none):
     assert cotraining.quality_classifier(docs, labels.limit(0)).where("kept").count() == len(TEXTS)
 
 
+def test_one_class_of_labels(docs, labels):
+    bad = labels.withColumn("quality", labels.quality * 0)
+    assert cotraining.quality_classifier(docs, bad).where("kept AND score = 0.5").count() == len(TEXTS)
+    assert {r.kept for r in quality_rules.quality_rules(docs, bad).collect() if not r.base_failed} == {True}
+
+
+def test_most_confident(spark):
+    size = linear.KINDS << linear.BITS
+    views = cotraining.Views(linear.Logistic(RNG.normal(0, 60, size).astype(np.float32), 0.5), linear.Logistic(RNG.normal(0, 20, (1 << cotraining.META_BITS) + 1).astype(np.float32), -0.5))
+    rows = [(i, prose(int(RNG.integers(1, 80))), "ende"[2 * (i % 2) :][:2], f"s{i % 7}", 10 * i) for i in range(120)]
+    docs = spark.createDataFrame([*rows, *rows[:5], (None, "x", "en", "s1", 1)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 3)], "doc_id long, quality int, toxic int")
+    want, lists = {}, defaultdict(list)
+    for i, *row in rows:
+        if i % 3:
+            batch = pa.RecordBatch.from_pylist([dict(zip(("text", "lang", "source", "n_chars"), row, strict=True))])
+            _, _, content, meta = next(views.raw(batch))
+            for v, r in ((0, content[0]), (1, meta[0])):
+                if abs(r) >= np.log(19):
+                    lists[v, int(r > 0)].append((abs(r), i))
+    for (v, y), own in lists.items():
+        for m, i in sorted(own, key=lambda r: (-r[0], r[1]))[:8]:
+            want.setdefault(i, {})[1 - v] = max(want.get(i, {}).get(1 - v, (0, 0)), (m, y))
+    got = {r.doc_id: (r.c, r.m) for r in cotraining.most_confident(docs, labels, views, 8).collect()}
+    assert got == {i: tuple(t.get(v, (0, -1))[1] for v in (0, 1)) for i, t in want.items()} and len(got) > 16
+
+
+def test_views_are_calibrated_apart():
+    n = 800
+    text = [("good " if i % 2 else "bad ") * 5 + prose(6) for i in range(n)]
+    y = [(i % 2) ^ int(RNG.random() < 0.2) for i in range(n)]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "lang": "en", "source": "s", "n_chars": len(t), "y": v, "c": v, "m": v} for i, (t, v) in enumerate(zip(text, y, strict=True))])
+    views = cotraining.fit_views([batch], None, True)
+    p = np.concatenate([1 / (1 + np.exp(-views.odds(c, m))) for _, _, c, m in views.raw(batch)])
+    for own in (p > 0.5, p < 0.5):
+        assert abs(p[own].mean() - np.array(y)[own].mean()) < 0.15
+    assert ((p > 0.5) == np.arange(n) % 2).mean() > 0.9
+
+
 def test_near_duplicates(docs, none):
     sets = []
     for t in TEXTS:
