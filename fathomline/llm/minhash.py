@@ -5,12 +5,11 @@ keys; of the minima themselves only the low BITS are kept, packed. Candidates sh
 similarity (bit counts, corrected for chance matches) lies far below the threshold are dropped, the rest are confirmed on the sets.
 
 Within a band bucket no pairs are listed wholesale: documents that are already linked through others need no comparison.
-In each round all members of a bucket that are not yet joined with its pivot are compared with it. The first pivot of a bucket is the
-member whose own buckets are the fullest: what copies were made from, which all of a group's buckets then share. Later ones are drawn,
-in turn from the part that most members belong to and from any part. Shingles that no other open set has are in no intersection: sets
-with too many of them leave, and pairs that the others' number rules out are not listed. Once the comparisons left are no more than
-COMPARISONS for each member, those of different parts are made all. Should PIVOTS rounds not bring that about (buckets full of alike
-documents below the threshold), the bound is raised fourfold a round, so that the search stays exact.
+In each of PIVOTS rounds all members of a bucket that are not yet joined with its pivot are compared with it. The first pivot of a bucket is the
+member whose own buckets are the fullest: what copies were made from, which all of a group's buckets then share. Later ones are drawn.
+The members of buckets that then still hold several parts meet by an exact prefix filter: with all shingles in one order, the rarest among these sets
+first, two sets that are similar enough share one of their first few, so near where both begin that enough can follow. Sets below the threshold, which differ by
+shingles that few others have, hardly ever meet there, however many share a bucket.
 """
 
 from __future__ import annotations
@@ -29,10 +28,6 @@ PERMUTATIONS, BITS = BANDS * ROWS, 2
 #: Estimates this far below the threshold are dropped: over six standard deviations of the estimate at 0.8.
 SLACK = 0.25
 PIVOTS = 2
-#: Shingles fall into so many parts by hash; the sum of the lesser counts of each part bounds an intersection.
-SHARES = 8
-#: Comparisons of two numbers inside a join, for each member of a bucket.
-COMPARISONS = 100
 _rng = np.random.Generator(np.random.PCG64(5))
 MULTIPLY = _rng.integers(1, 1 << 62, PERMUTATIONS, dtype=U) * U(2) + U(1)
 ADD = _rng.integers(1, 1 << 62, PERMUTATIONS, dtype=U)
@@ -147,75 +142,69 @@ def confirmed_components(docs: DataFrame, nodes: DataFrame, members: DataFrame,
         return labels
     candidates = staged(members.groupBy("set_hash").agg(F.sum("c").alias("weight")), "candidates")
     sets = staged(candidate_sets(docs, candidates, width), "sets")
-    info = nodes.select("set_hash", "signature")
-    tried, round_ = None, 0
-    limit = COMPARISONS * members.count()
-    # most: how many of the n shingles another set may have
-    members, settled = members.join(nodes.select("set_hash", "n", F.col("n").alias("most")), "set_hash").select("key", "set_hash", "n", "most"), False
-    current = candidates.select("set_hash", F.col("set_hash").alias("label"), "weight")
-    while True:
-        marked = members.join(current, "set_hash")
+    info = staged(nodes.select("set_hash", "n", "signature").join(candidates.select("set_hash"), "set_hash", "left_semi"), "info")
+    current, tried = candidates.select("set_hash", F.col("set_hash").alias("label"), "weight"), None
+    for round_ in range(PIVOTS + 1):
+        marked = members.select("key", "set_hash").join(current, "set_hash")
         drawn = F.xxhash64("set_hash", F.lit(round_))
         turn = F.struct(F.col("weight") if not round_ else F.lit(0).cast("long"), drawn.alias("h"))
-        parts = marked.groupBy("key", "label").agg(F.count("*").alias("c"), F.max(F.struct(turn.alias("turn"), "set_hash", "n", "most")).alias("top"))
-        first = F.struct("top.turn") if round_ % 2 else F.struct("c", "top.turn")
-        buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.max_by(F.struct("label", "top.set_hash", "top.n", "top.most"), first).alias("top")).where("parts > 1")
-        buckets = buckets.select("key", "c", "cc", F.col("top.label").alias("pivot_label"), F.col("top.set_hash").alias("pivot"), F.col("top.n").alias("nb"), F.col("top.most").alias("mb"))
-        buckets = staged(buckets, "buckets")
-        total = buckets.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0]
-        if not total:
+        parts = marked.groupBy("key", "label").agg(F.max_by("set_hash", turn).alias("top"), F.max(turn).alias("turn"))
+        buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by(F.struct("label", "top"), F.col("turn")).alias("top")).where("parts > 1")
+        buckets = staged(buckets.select("key", F.col("top.label").alias("pivot_label"), F.col("top.top").alias("pivot")), "buckets")
+        if not buckets.take(1):
+            discard(buckets)
             break
-        if round_ and not settled:
-            open_ = marked.join(buckets.select("key"), "key", "left_semi").select("key", "set_hash", "n")
-            members, settled = staged(shared_members(open_, sets, percent), "members"), True
-            continue
-        last = bool(round_) and total <= limit
-        possible = f"{100 + percent} * least(ma, mb) >= {percent} * (na + nb)"
-        if last:
-            open_ = marked.join(buckets.select("key"), "key")
-            one, other = (open_.select("key", F.col("set_hash").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("most").alias(f"m{s}"), F.col("shares").alias(f"s{s}")) for s in "ab")
-            both = sum((F.least(F.col("sa")[i], F.col("sb")[i]) for i in range(SHARES)), F.lit(0))
-            pairs = one.join(other, "key").where("a < b AND la != lb").where(possible).where((100 + percent) * both >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+        open_ = marked.join(buckets, "key")
+        if round_ < PIVOTS:
+            pairs = open_.where("label != pivot_label").select(F.least("set_hash", "pivot").alias("a"), F.greatest("set_hash", "pivot").alias("b")).distinct()
         else:
-            near = marked.withColumnsRenamed({"n": "na", "most": "ma"}).join(buckets.select("key", "pivot", "pivot_label", "nb", "mb"), "key")
-            pairs = near.where("label != pivot_label").where(possible).select(F.least("set_hash", "pivot").alias("a"), F.greatest("set_hash", "pivot").alias("b"))
-        pairs = pairs.distinct()
+            pairs = prefix_pairs(open_.select("set_hash", "label").distinct(), sets, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
+        discard(buckets)
         good = staged(confirm(pairs, info, sets, percent), "links")
         known = current.where("label != set_hash").select(F.col("set_hash").alias("a"), F.col("label").alias("b"))
         current = components(candidates, known.unionByName(good))
-        if last:
-            break
+        discard(good)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if round_ >= PIVOTS:
-            limit *= 4
-        round_, settled = round_ + 1, False
+    for table in (sets, info, members):
+        discard(table)
     return labels.join(current.select("set_hash", F.col("label").alias("found")), "set_hash", "left").select("set_hash", F.coalesce("found", "label").alias("label"))
 
 
-def shared_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """`members` (key, set_hash, n) with `most`, the number of shingles that some other set of them has too, and `shares`, how many of these fall in each part; sets of which that is too few to be linked go."""
+def prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of `open_` (set_hash, label) of different labels, among them all that are similar enough.
+
+    Of n shingles, rarest first, a set similar enough shares one of the first n - ceil(percent * n / 100) + 1. At the first
+    shingle that both share, no more can be shared than is left of either. Shingles of one set alone come first and meet nobody.
+    """
 
     def each(batches):
         for batch in batches:
-            for name, own in zip(batch.column("set_hash"), batch.column("members"), strict=True):
-                h, values = np.frombuffer(name.as_buffer(), ">i8"), np.frombuffer(own.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), h[0], np.int64)), pa.array(np.full(len(values), h[1], np.int64))], ["shingle", "high", "low"])
-
-    open_ = members.select("set_hash", "n").distinct()
-    rows = sets.join(open_, "set_hash", "left_semi").mapInArrow(each, "shingle long, high long, low long")
-    # of one set only: its name is the least of one
-    alone = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("high").alias("high"), F.min("low").alias("low")).where("c = 1")
-    part = F.pmod("shingle", F.lit(SHARES))
-    alone = alone.groupBy("high", "low").agg(F.count("*").alias("alone"), *(F.count_if(part == i).alias(f"alone{i}") for i in range(SHARES)))
-    digits = lambda c: F.lpad(F.hex(c), 16, "0")
-    alone = alone.select(F.unhex(F.concat(digits("high"), digits("low"))).alias("set_hash"), *(c for c in alone.columns if c not in ("high", "low")))
-    left = lambda total, gone: total - F.coalesce(gone, F.lit(0))
-    judged = open_.join(sets.select("set_hash", "shares"), "set_hash").join(alone, "set_hash", "left")
-    most = judged.select("set_hash", "n", left(F.col("n"), "alone").alias("most"), F.array(*(left(F.col("shares")[i], f"alone{i}") for i in range(SHARES))).alias("shares")).where(f"100 * most >= {percent} * n")
-    return members.select("key", "set_hash").join(most, "set_hash").select("key", "set_hash", "n", "most", "shares")
+            for name, label, own in zip(batch.column("set_hash"), batch.column("label"), batch.column("members"), strict=True):
+                h, values, n = np.frombuffer(name.as_buffer(), ">i8"), np.frombuffer(own.as_buffer(), np.int64), len(own.as_buffer()) // 8
+                part = np.frombuffer(label.as_buffer(), ">i8", 1)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(values), *(pa.array(np.full(n, v, np.int64)) for v in (h[0], h[1], part, n))], ["shingle", "high", "low", "part", "n"])
+
+    rows = staged(sets.join(open_, "set_hash").select("set_hash", "label", "members").mapInArrow(each, "shingle long, high long, low long, part long, n long"), "shingles")
+    # shingles of two parts at least; equal first halves of two labels would only hide a shingle from sets of both
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("part").alias("least"), F.max("part").alias("most")).where("c > 1").select("shingle", "c", (F.col("least") != F.col("most")).alias("open"))
+    own = rows.join(shared, "shingle").groupBy("high", "low").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.sort_array(F.collect_list(F.struct("c", "shingle", "open"))).alias("some"))
+    alone = F.col("n") - F.size("some")
+    longest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = own.select("high", "low", "part", "n", alone.alias("alone"), F.posexplode(F.slice("some", F.lit(1), F.greatest(longest - alone, F.lit(0)).cast("int"))).alias("i", "s")).where("s.open")
+    prefix = staged(prefix.select("s.shingle", "high", "low", "part", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest")), "prefixes")
+    discard(rows)
+    one, other = (prefix.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("high", "low", "part", "n", "rest"))) for s in "ab")
+    enough = F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    apart = (F.col("part_a") != F.col("part_b")) & (F.struct("high_a", "low_a") < F.struct("high_b", "low_b"))
+    names = (F.unhex(F.concat(*(F.lpad(F.hex(f"{c}_{s}"), 16, "0") for c in ("high", "low")))) for s in "ab")
+    one_, other_ = names
+    met = one.join(other, "shingle").where(apart & enough).select("high_a", "low_a", "high_b", "low_b").distinct()
+    pairs = staged(met.select(one_.alias("p"), other_.alias("q")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")), "met")
+    discard(prefix)
+    return pairs
 
 
 def candidate_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
@@ -225,16 +214,16 @@ def candidate_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFr
         for batch in batches:
             for _, _, data, at in slices(batch.column("text")):
                 sets = [s for s in shingle_sets(data, at, width) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.bincount((s % U(SHARES)).astype(np.int64), minlength=SHARES).tolist() for s in sets], pa.list_(pa.int32()))], ["set_hash", "members", "shares"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_hash", "members"])
 
-    made = docs.select("text").mapInArrow(build, "set_hash binary, members binary, shares array<int>")
+    made = docs.select("text").mapInArrow(build, "set_hash binary, members binary")
     return made.join(candidates, "set_hash", "left_semi").dropDuplicates(["set_hash"])
 
 
 def confirm(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: estimates first, then the full sets."""
-    side = lambda s: info.select(F.col("set_hash").alias(s), F.col("signature").alias(f"g{s}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b")
+    """The pairs (a, b) whose sets are similar enough: sizes and estimates first, then the full sets."""
+    side = lambda s: info.select(F.col("set_hash").alias(s), F.col("n").alias(f"n{s}"), F.col("signature").alias(f"g{s}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
 
     close = sized.where(estimate_column(F.col("ga"), F.col("gb")) >= percent / 100 - SLACK).select("a", "b")
     both = close.join(sets.select(F.col("set_hash").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("set_hash").alias("b"), F.col("members").alias("y")), "b")

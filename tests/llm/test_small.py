@@ -217,6 +217,43 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_copies_below_the_threshold(spark):
+    base = prose(150).split()
+    texts = []
+    for k in range(160):
+        w = list(base)
+        for i in RNG.choice(150, 2 + k % 16, replace=False):
+            w[i] = VOCAB[int(RNG.integers(0, 12))]
+        texts.append(" ".join(w))
+    sets = [set(zip(w, w[1:], w[2:], w[3:])) for w in map(str.split, texts)]
+    part = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if part[a] != part[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((part[a], part[b]))
+                part = [low if p == high else p for p in part]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == dict(enumerate(part)) and 10 < len(set(part)) < 150
+
+
+def test_prefix_filter(spark):
+    from pyspark.sql import functions as F
+
+    own = [np.unique(RNG.choice(60, int(RNG.integers(8, 14)))).astype(np.uint64) for _ in range(400)]
+    own += [np.delete(s, int(RNG.integers(len(s)))) for s in own[:100]]
+    own = list({minhash.set_hash(s): s for s in own}.values())
+    names = [minhash.set_hash(s) for s in own]
+    sets = spark.createDataFrame([(h, s.tobytes()) for h, s in zip(names, own, strict=True)], "set_hash binary, members binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in minhash.prefix_pairs(sets.select("set_hash", F.col("set_hash").alias("label")), sets, 80).collect()}
+    want = set()
+    for i, a in enumerate(own):
+        for j in range(i):
+            both = len(np.intersect1d(a, own[j]))
+            if 100 * both >= 80 * (len(a) + len(own[j]) - both):
+                want.add((min(names[i], names[j]), max(names[i], names[j])))
+    assert want <= got and len(want) > 30 and len(got) < 0.2 * len(own) ** 2 / 2
+
+
 def test_estimate():
     a = np.unique(RNG.integers(0, 1 << 62, 1000).astype(np.uint64))
     b = np.concatenate([a[:800], RNG.integers(0, 1 << 62, 200).astype(np.uint64)])
