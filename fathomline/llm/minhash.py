@@ -28,9 +28,10 @@ PERMUTATIONS, BITS = BANDS * ROWS, 2
 #: Estimates this far below the threshold are dropped: over six standard deviations of the estimate at 0.8.
 SLACK = 0.25
 PIVOTS = 2
+#: Permutations are of 32-bit numbers, which processors multiply several at once.
 _rng = np.random.Generator(np.random.PCG64(5))
-MULTIPLY = _rng.integers(1, 1 << 62, PERMUTATIONS, dtype=U) * U(2) + U(1)
-ADD = _rng.integers(1, 1 << 62, PERMUTATIONS, dtype=U)
+MULTIPLY = _rng.integers(1, 1 << 30, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+ADD = _rng.integers(1, 1 << 31, PERMUTATIONS, dtype=np.uint32)
 SETS = "doc_id long, n_shingles long, set_hash binary"
 
 
@@ -58,11 +59,15 @@ def set_hash(own: np.ndarray) -> bytes:
 
 def minima(own: np.ndarray) -> np.ndarray:
     """The set's least value under each permutation, in blocks of members."""
-    least = np.full(PERMUTATIONS, np.iinfo(U).max, U)
+    least = np.full(PERMUTATIONS, np.iinfo(np.uint32).max, np.uint32)
+    low = own.astype(np.uint32)
+    room = np.empty((min(len(own), 256), PERMUTATIONS), np.uint32)
     for i in range(0, len(own), 256):
-        v = own[i : i + 256, None] * MULTIPLY + ADD
-        np.minimum(least, (v ^ (v >> U(29))).min(0), out=least)
-    return least
+        part = low[i : i + 256, None]
+        v = np.multiply(part, MULTIPLY, out=room[: len(part)])
+        v += ADD
+        np.minimum(least, v.min(0), out=least)
+    return least.astype(U)
 
 
 def packed(least: np.ndarray) -> np.ndarray:
