@@ -309,17 +309,90 @@ def test_parts_in_earlier_documents(spark):
     assert {(4 * k + 2, 4 * k + 3) for k in range(40)} <= got
 
 
-def test_links_across_batches():
-    rows = [(s, d, a) for s, n in ((1, 9), (2, 1), (3, 6)) for d, a in sorted((10 * s + int(RNG.integers(0, 4)), i) for i in range(n))]
+def test_ties():
+    rows = sorted({(s, 10 * s + int(RNG.integers(0, 4)), int(RNG.integers(0, 30))) for s, n in ((1, 9), (2, 1), (3, 6)) for _ in range(n)})
     want = set()
-    for i, (s, d, a) in enumerate(rows):
-        earlier = [r for r in rows[:i] if r[0] == s]
+    for i, r in enumerate(rows):
+        earlier = [q for q in rows[:i] if q[0] == r[0]]
         if earlier:
-            want |= {(*r[1:], d, a) for r in (earlier[0], earlier[-1], *[r for r in earlier if r[1] < d][-1:])}
-    for size in (1, 2, 5, 16):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size], strict=True)], ["seed", "doc_id", "at"]) for i in range(0, len(rows), size)]
-        got = [(r["first_doc_id"], r["x"], r["doc_id"], r["y"]) for b in substring.link_rows(batches) for r in b.to_pylist()]
-        assert len(got) == len(set(got)) and set(got) == want
+            want |= {(q, r) for q in (earlier[0], earlier[-1], *[q for q in earlier if q[1] < r[1]][-1:])}
+    there, here = substring.ties(*(np.array(c) for c in zip(*rows, strict=True)))
+    got = [(rows[i], rows[j]) for i, j in zip(there, here, strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_planes():
+    values = np.array([-5, 0, 1, 2**40 - 1, 2**63 - 1])
+    assert (substring.from_planes(substring.planes(values, 8), 8) == values).all()
+    assert substring.from_planes(substring.planes(values, 5), 5).tolist() == [2**40 - 5, 0, 1, 2**40 - 1, 2**40 - 1]
+
+
+def test_best_chain():
+    for _ in range(40):
+        n = int(RNG.integers(2, 60))
+        x, y, more = RNG.integers(0, 500, n), RNG.integers(0, 500, n), RNG.integers(0, 9, n)
+        if RNG.random() < 0.7:
+            y = x + RNG.integers(-30, 30, n)
+            y -= min(0, y.min())
+        order, best = sorted(range(n), key=lambda i: (x[i], y[i])), {}
+        for i in order:
+            best[i] = substring.K + more[i]
+            for j in order:
+                dx, dy = x[i] - x[j] - more[j], y[i] - y[j] - more[j]
+                if j in best and j != i and 0 < dx <= substring.MAX_GAP and 0 < dy <= substring.MAX_GAP:
+                    best[i] = max(best[i], substring.K + more[i] + best[j] - substring.GAP * (dx + dy))
+        found = substring.chains(x, y, more)
+        top = found[0]
+        score = sum(substring.K + more[i] for i in top) - substring.GAP * sum(x[j] - x[i] - more[i] + y[j] - y[i] - more[i] for i, j in zip(top, top[1:], strict=False))
+        assert score == pytest.approx(max(best.values())) and sorted(i for c in found for i in c) == list(range(n))
+
+
+def test_two_passages_of_a_pair(spark):
+    one, two = prose(600), prose(300)
+    rows = [(1, f"{one} {prose(1000)} {two}"), (2, f"{prose(40)} {one} {prose(1000)} {two} {prose(10)}")]
+    got = sorted((r.start_word, r.end_word, r.first_start, r.first_end) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(40, 640, 0, 600), (1640, 1940, 1600, 1900)]
+
+
+def test_exact_passages_by_brute_force(spark):
+    parts = [[f"{v}{k}" for v in prose(int(RNG.integers(30, 90))).split()] for k in range(12)]
+    texts = [sum((parts[int(k)] + prose(5).split() for k in RNG.integers(0, 12, int(RNG.integers(1, 5)))), []) for _ in range(40)]
+    want, found = set(), set()
+    for j, b in enumerate(texts):
+        for i in range(j):
+            for s in range(len(b) - 49):
+                if any(texts[i][t : t + 50] == b[s : s + 50] for t in range(len(texts[i]) - 49) if texts[i][t] == b[s]):
+                    want |= {(j, k) for k in range(s, s + 50)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in substring.repeated_passages(docs).collect():
+        a, b = texts[r.first_doc_id][r.first_start : r.first_end], texts[r.doc_id][r.start_word : r.end_word]
+        assert (r.first_doc_id, r.first_start) < (r.doc_id, r.start_word) and len(b) >= 50 and r.identity >= 0.8 and len(set(a) & set(b)) > 0.5 * len(set(b))
+        found |= {(r.doc_id, k) for k in range(r.start_word, r.end_word)}
+    assert want and len(want - found) <= 0.001 * len(want)
+
+
+@pytest.mark.parametrize("changed", [0, 5, 10, 15, 20])
+def test_recall_by_share_of_changed_words(spark, changed):
+    rows = []
+    for k in range(100):
+        w = prose(60 + k).split()
+        other = list(w)
+        for i in RNG.choice(len(w), changed * len(w) // 100, replace=False):
+            other[i] = f"x{i}"
+        rows += [(2 * k, f"{prose(30)} {' '.join(w)} {prose(30)}"), (2 * k + 1, f"{prose(20)} {' '.join(other)} {prose(50)}")]
+    got = {(r.first_doc_id, r.doc_id) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((2 * k, 2 * k + 1) in got for k in range(100)) >= 90
+
+
+def test_odd_rows_of_passages(spark):
+    t = prose(80)
+    rows = [(None, t, 1, "a"), (None, t, 1, "a"), (5, t, 2, "b"), (5, t + " more", 2, "c"), (5, t, 2, "d"), (7, None, 3, "e"), (None, None, 3, "f"), (9, "", 4, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long, spans string")
+    got = [(r.first_doc_id, r.doc_id) for r in substring.repeated_passages(docs).collect()]
+    assert 2 <= len(got) <= 3 and set(sum(got, ())) <= {None, 5}
+    left = substring.without_repeats(docs).collect()
+    assert sorted(r.spans for r in left if not r.text) == ["e", "f", "g"] and {tuple(r.asDict()) for r in left} == {("doc_id", "text", "id", "spans")}
+    assert sum(t in (r.text or "") for r in left) in (1, 2)
 
 
 def test_stray_copy_before_a_passage(spark):
