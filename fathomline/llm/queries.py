@@ -61,7 +61,7 @@ def op9_token_files(spark, sf_dir):
 
 
 def op10_mixing(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("source")
 
 
 def queries() -> dict:

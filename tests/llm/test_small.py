@@ -467,10 +467,10 @@ def test_cascade_is_exact(spark):
     assert len(levels) > 1 and found.exceptAll(listed).count() == 0 == listed.exceptAll(found).count()
 
 
-def test_mix(spark, docs, none):
+def test_mix(spark, docs, none, labels):
     rows = [(i, prose(int(RNG.integers(1, 60))), [None, "b", "a", "c"][min(3, i % 7)]) for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.mix(table).collect()
+    got = mixing.mix(table, labels).collect()
     by, largest = defaultdict(list), 60
     for r in got:
         by[r.source].append(r)
@@ -478,9 +478,44 @@ def test_mix(spark, docs, none):
     for own in by.values():
         assert abs(sum(r.taken for r in own) - own[0].target) <= largest and own[0].source_size == sum(r.size for r in own)
     assert sum(own[0].target for own in by.values()) == pytest.approx(1.5 * sum(r.size for r in got))
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(table.repartition(7)).collect()))
-    assert len(mixing.mix(docs).collect()) == len(TEXTS) and mixing.mix(none).count() == 0
-    assert sum(len(words(r.text)) for r in mixing.mixed_documents(table).collect()) == sum(r.taken for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(table.repartition(7), labels).collect()))
+    assert len(mixing.mix(docs, labels).collect()) == len(TEXTS) and mixing.mix(none, labels).count() == 0
+    assert sum(len(words(r.text)) for r in mixing.mixed_documents(table, labels).collect()) == sum(r.taken for r in got)
+
+
+def test_mix_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i // 2 if i < 20 else i, (f"{prose(int(RNG.integers(1, 40)))} " + "### $$$ " * 9 * (i % 3 == 0)) if i % 9 else None, "ab"[i % 2] if i % 11 else None) for i in range(300)]
+    table = spark.createDataFrame([*rows, rows[30], (None, rows[31][1], "a")], "doc_id long, text string, source string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(20, 300, 2)], "doc_id long, quality int, toxic int")
+    got = mixing.mix(table, labels).collect()
+    hashes = {(r.doc_id, r.text): r.h for r in table.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(mixing.SEED)).alias("h")).collect()}
+    sizes, want = defaultdict(list), []
+    scored = {(r.doc_id, r.text): r for r in mixing.sized(table.withColumn("copy", F.col("text")), labels, ("copy",), mixing.SEED).withColumnRenamed("copy", "text").collect()}
+    for r in table.collect():
+        q = scored[r.doc_id, r.text]
+        u = (hashes[r.doc_id, r.text] % (1 << 52) + 0.5) / (1 << 52)
+        sizes[r.source].append((-(u ** (1 / q.quality)), -1 if r.doc_id is None else r.doc_id, len(words(r.text))))
+    for s, n, t in mixing.targets([(s, sum(x[2] for x in own)) for s, own in sizes.items()]):
+        epochs, run = (int(t // n) if n else 0), 0
+        for _, i, size in sorted(sizes[s]):
+            run += size
+            want.append((s or "", i, size, size * (epochs + (run - size / 2 <= t - epochs * n))))
+    assert sorted((r.source or "", -1 if r.doc_id is None else r.doc_id, r.size, r.taken) for r in got) == sorted(want)
+    assert min(r.quality for r in got) >= 0.05 and len(got) == 302
+    by = {r.doc_id: r.quality for r in got if r.doc_id and r.doc_id >= 20 and r.size}
+    assert np.mean([q for i, q in by.items() if i % 3]) > 0.2 + np.mean([q for i, q in by.items() if i % 3 == 0])
+
+
+def test_mixed_rows(spark, labels):
+    rows = [(1, "a b", "s", 1, 2), (1, "a b", "s", 1, 2), (1, "c d e", "s", 1, 2), (None, "f", "s", 1, 2), (2, None, "t", 1, 2), (3, "g " * 50, "t", 1, 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, times int, time int")
+    got = Counter(map(tuple, mixing.mixed_documents(table, labels).collect()))
+    taken = Counter()
+    for r in mixing.mix(table, labels).collect():
+        taken[r.doc_id, r.size] += r.taken
+    assert all(sum(n * len(words(r[1])) for r, n in got.items() if (r[0], len(words(r[1]))) == key) == t for key, t in taken.items()) and set(got) <= set(rows)
 
 
 def test_targets():
