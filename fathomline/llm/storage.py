@@ -44,7 +44,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes a table that staged() wrote and no later job reads."""
+    """Deletes a written table that no later job reads."""
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
