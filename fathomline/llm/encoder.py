@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from fathomline.llm.text import IS_SPACE, U, span_hashes
 
-KEPT = 4_000_000
+KEPT = 1_000_000
 #: Last bytes of characters that Unicode counts as white space; no cut follows them.
 WIDE_SPACE_END = np.zeros(256, bool)
 WIDE_SPACE_END[[0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True

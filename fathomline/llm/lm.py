@@ -228,7 +228,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for first, end, data, at in slices(batch.column("text"), 1 << 22):
+            for first, end, data, at in slices(batch.column("text"), 1 << 20):
                 w, suffix = tokens(data, at)
                 kind, place = classes(w, suffix, frequent, class_of)
                 current, before, starts = chained(w, kind)

@@ -32,7 +32,7 @@ def cut_pieces(batches, vocabulary: str, capacity: int, end_id: int):
     seen = np.zeros(capacity + 1, np.int64)
     for batch in batches:
         doc_ids = batch.column("doc_id").cast(pa.int64())
-        for first, _, data, at in slices(batch.column("text"), 1 << 22):
+        for first, _, data, at in slices(batch.column("text"), 1 << 20):
             ids, where = with_end(*encode(data, at), end_id)
             size = np.diff(where)
             n = -(-size // capacity)

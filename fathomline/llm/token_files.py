@@ -85,7 +85,7 @@ def write_part(batches, folder: str, vocabulary: str, end_id: int):
     docs, sizes, starts, place, total = [], [], [], 0, 0
     for batch in batches:
         ids_of = batch.column("doc_id").cast(pa.int64())
-        for first, end, data, at in slices(batch.column("text"), 1 << 22):
+        for first, end, data, at in slices(batch.column("text"), 1 << 20):
             if out is None:
                 store.create_dir(root)
                 out = store.open_output_stream(own)
