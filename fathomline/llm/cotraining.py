@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from fathomline.llm import linear
 from fathomline.llm.quality_rules import LONGEST, examples_of, one_task, sample_rows
 from fathomline.llm.storage import discard, staged
-from fathomline.llm.text import mix, slices, span_hashes
+from fathomline.llm.text import lean, mix, slices, span_hashes
 
 #: Labelled rows of each class that the classifiers are fitted on, at most.
 LABELLED = 1000
@@ -112,6 +112,7 @@ def most_confident(docs: DataFrame, labels: DataFrame, views: Views, new: int =
     """
     edge = np.log(CONFIDENT / (1 - CONFIDENT))
 
+    @lean
     def sure(batches):
         for batch in batches:
             for first, end, *raw in views.raw(batch):
@@ -159,6 +160,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = TH
     """
     views = co_train(docs, labels)
 
+    @lean
     def judge(batches):
         for batch in batches:
             for first, end, content, meta in views.raw(batch):
@@ -172,6 +174,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """The rows of `docs` that the classifier keeps, all columns; verdicts travel with the rows, not by a join. Odd rows are treated as by quality_classifier."""
     views, edge = co_train(docs, labels), np.log(threshold / (1 - threshold))
 
+    @lean
     def keep(batches):
         for batch in batches:
             for first, end, content, meta in views.raw(batch):

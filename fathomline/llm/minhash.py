@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.storage import discard, staged
-from fathomline.llm.text import U, mix, shingles, slices, words
+from fathomline.llm.text import U, lean, mix, shingles, slices, words
 
 #: 40 bands of 5 rows: two sets of similarity 0.8 share no band with probability (1 - 0.8^5)^40 = 1.3e-7.
 BANDS, ROWS = 40, 5
@@ -116,6 +116,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, also: tu
     component. Repeated rows are nodes of their own, linked by their equal sets. A null doc_id takes part like any other; it comes first, so its component has a null id. An empty table gives no rows.
     With `also`, these columns of `docs` too, and label, which tells apart components whose ids are equal (null: no words).
     """
+    @lean
     def sign(batches):
         for batch in batches:
             for first, end, data, at in slices(batch.column("text")):
@@ -189,11 +190,11 @@ def prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for name, label, own in zip(batch.column("set_hash"), batch.column("label"), batch.column("members"), strict=True):
                 h, values, n = np.frombuffer(name.as_buffer(), ">i8"), np.frombuffer(own.as_buffer(), np.int64), len(own.as_buffer()) // 8
-                part = np.frombuffer(label.as_buffer(), ">i8", 1)[0]
+                part = np.frombuffer(label.as_buffer(), ">i8")[1]
                 yield pa.RecordBatch.from_arrays([pa.array(values), *(pa.array(np.full(n, v, np.int64)) for v in (h[0], h[1], part, n))], ["shingle", "high", "low", "part", "n"])
 
     rows = staged(sets.join(open_, "set_hash").select("set_hash", "label", "members").mapInArrow(each, "shingle long, high long, low long, part long, n long"), "shingles")
-    # shingles of two parts at least; equal first halves of two labels would only hide a shingle from sets of both
+    # shingles of two parts at least; a part is known by the second half of its label, which holds the number of shingles too
     shared = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("part").alias("least"), F.max("part").alias("most")).where("c > 1").select("shingle", "c", (F.col("least") != F.col("most")).alias("open"))
     own = rows.join(shared, "shingle").groupBy("high", "low").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.sort_array(F.collect_list(F.struct("c", "shingle", "open"))).alias("some"))
     alone = F.col("n") - F.size("some")
@@ -215,6 +216,7 @@ def prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def candidate_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
     """(set_hash, members) of the candidate sets, made anew from the texts rather than kept for all of them."""
 
+    @lean
     def build(batches):
         for batch in batches:
             for _, _, data, at in slices(batch.column("text")):
@@ -233,6 +235,7 @@ def confirm(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) ->
     close = sized.where(estimate_column(F.col("ga"), F.col("gb")) >= percent / 100 - SLACK).select("a", "b")
     both = close.join(sets.select(F.col("set_hash").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("set_hash").alias("b"), F.col("members").alias("y")), "b")
 
+    @lean
     def exact(batches):
         for batch in batches:
             keep = []

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fathomline.llm import linear
 from fathomline.llm.quality_rules import SAMPLE, fitted
 from fathomline.llm.storage import staged
-from fathomline.llm.text import slices, words
+from fathomline.llm.text import lean, slices, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -52,6 +52,7 @@ def sized(docs: DataFrame, labels: DataFrame, also: tuple[str, ...], seed: int)
     """doc_id, source, `also`, size (words), quality (probability of the classifier) and h (a hash for the key) of every row."""
     model = fitted(docs, labels, SAMPLE)
 
+    @lean
     def measure(batches):
         for batch in batches:
             sizes, scores = [np.zeros(0, np.int64)], [np.zeros(0)]

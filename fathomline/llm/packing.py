@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.encoder import encoder, with_end
 from fathomline.llm.storage import staged
-from fathomline.llm.text import slices
+from fathomline.llm.text import lean, slices
 
 CAPACITY = 1024
 END_ID = 2
 PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 long, place long"
 
 
+@lean
 def cut_pieces(batches, vocabulary: str, capacity: int, end_id: int):
     """Pieces of each document, with their place among this partition's pieces of that length."""
     encode, part = encoder(vocabulary), TaskContext.get().partitionId()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import linear
-from fathomline.llm.text import code_points, segment_sums, shingles, slices, span_hashes, words
+from fathomline.llm.text import code_points, lean, segment_sums, shingles, slices, span_hashes, words
 
 #: Labelled rows that the classifier is fitted on, of each class at most, and bytes of each one's text.
 SAMPLE, LONGEST = 1500, 1 << 14
@@ -86,6 +86,7 @@ def examples_of(docs: DataFrame, chosen: DataFrame, also: tuple[str, ...] = ())
 def one_task(rows: DataFrame, work):
     """What `work` makes of the list of rows' batches, in one task of an executor; None where there are no rows. Only for bounded tables."""
 
+    @lean
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if got:
@@ -123,6 +124,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     model = fitted(docs, labels, most)
     weights, bias, slope, shift = model.weights, model.bias, model.slope, model.shift
 
+    @lean
     def judge(batches):
         own = linear.Logistic(weights, bias, slope, shift)
         for batch in batches:

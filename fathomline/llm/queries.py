@@ -12,6 +12,7 @@ from fathomline.llm.minhash import near_duplicates
 from fathomline.llm.mixing import mix
 from fathomline.llm.packing import best_fit_packing
 from fathomline.llm.quality_rules import quality_rules
+from fathomline.llm.storage import bound_batches
 from fathomline.llm.substring import repeated_passages
 from fathomline.llm.token_files import token_files
 
@@ -21,6 +22,7 @@ ORACLE_SQL = {"op8_url_filter": url_filter.SQL}
 
 
 def table(spark, sf_dir: str, name: str):
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

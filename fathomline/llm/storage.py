@@ -12,10 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 #: Spark's setting that frees a query's shuffle files when it has ended.
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting of the bytes of a batch that goes to Python, and its value here: texts differ in length, so rows do not bound a batch.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. Only a session on one machine (tests) that names none gets a folder of this machine."""
+    bound_batches(spark)
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":

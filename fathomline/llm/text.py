@@ -6,6 +6,8 @@ Its hash is a polynomial over its bytes modulo 2^64, mixed; equal words have equ
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +30,23 @@ LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
+def lean(work):
+    """A task's generator of batches that gives the worker's freed memory back to the system when it ends; workers are used again and share their executor's memory."""
+
+    @functools.wraps(work)
+    def run(*args):
+        try:
+            yield from work(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i up to n; kept, and made longer only for a longer text."""
     if len(_powers["up"]) <= n:

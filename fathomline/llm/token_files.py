@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.encoder import encoder, with_end
 from fathomline.llm.storage import new_path
-from fathomline.llm.text import slices
+from fathomline.llm.text import lean, slices
 
 MAGIC = 0x0130524F4650
 BLOCK = 512
@@ -75,6 +75,7 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
     return out.reshape(-1)[(np.arange(BLOCK) < counts[:, None]).reshape(-1)]
 
 
+@lean
 def write_part(batches, folder: str, vocabulary: str, end_id: int):
     """Encodes the documents of one partition into one file; a repeated attempt renames its own file over the first's."""
     store, root = fs.FileSystem.from_uri(folder)
@@ -161,6 +162,7 @@ def read_token_files(spark, folder: str, files: list) -> DataFrame:
         base += f.n_ids
     table = spark.createDataFrame(rows, "part int, path string, base long").repartition(max(1, len(rows)), "part")
 
+    @lean
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():

@@ -190,9 +190,9 @@ def test_most_confident(spark):
 
 
 def test_views_are_calibrated_apart():
-    n = 800
-    text = [("good " if i % 2 else "bad ") * 5 + prose(6) for i in range(n)]
-    y = [(i % 2) ^ int(RNG.random() < 0.2) for i in range(n)]
+    n, own = 2400, np.random.Generator(np.random.PCG64(1))
+    text = [("good " if i % 2 else "bad ") * 5 + " ".join(own.choice(VOCAB, 6)) for i in range(n)]
+    y = [(i % 2) ^ int(own.random() < 0.2) for i in range(n)]
     batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "lang": "en", "source": "s", "n_chars": len(t), "y": v, "c": v, "m": v} for i, (t, v) in enumerate(zip(text, y, strict=True))])
     views = cotraining.fit_views([batch], None, True)
     p = np.concatenate([1 / (1 + np.exp(-views.odds(c, m))) for _, _, c, m in views.raw(batch)])
