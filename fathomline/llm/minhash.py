@@ -122,12 +122,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, also: tu
             for first, end, data, at in slices(batch.column("text")):
                 sets = shingle_sets(data, at, width)
                 least = [minima(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary()), pa.array([None if m is None else packed(m).tolist() for m in least], pa.list_(pa.int64())), pa.array([None if m is None else band_keys(m).tolist() for m in least], pa.list_(pa.int64())), *(batch.column(c).slice(first, end - first) for c in also)], ["doc_id", "n_shingles", "set_hash", "signature", "bands", *also])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary()), pa.array([None if m is None else packed(m).tolist() for m in least], pa.list_(pa.int64())), pa.array([None if m is None else band_keys(m).tolist() for m in least], pa.list_(pa.int64())), *(batch.column(c).slice(first, end - first) for c in ("text_hash", *also))], ["doc_id", "n_shingles", "set_hash", "signature", "bands", "text_hash", *also])
 
-    signed = staged(docs.select("doc_id", "text", *also).mapInArrow(sign, ", ".join([f"{SETS}, signature array<long>, bands array<long>", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in also)])), "signed")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), *also)
+    signed = staged(hashed.mapInArrow(sign, ", ".join([f"{SETS}, signature array<long>, bands array<long>, text_hash long", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in also)])), "signed")
     ids = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    classes = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min(ids).alias("node"), F.min_by(F.struct("signature", "bands"), ids).alias("s"), F.max("n_shingles").alias("n"))
-    nodes = staged(classes.select("node", "set_hash", "n", "s.signature", "s.bands"), "nodes")
+    classes = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min(ids).alias("node"), F.min_by(F.struct("signature", "bands", "text_hash"), ids).alias("s"), F.max("n_shingles").alias("n"))
+    nodes = staged(classes.select("node", "set_hash", "n", "s.signature", "s.bands", "s.text_hash"), "nodes")
     # a node is one set
     banded = nodes.select("set_hash", F.posexplode("bands").alias("band", "key"))
     full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -147,7 +148,7 @@ def confirmed_components(docs: DataFrame, nodes: DataFrame, members: DataFrame,
     if not members.take(1):
         return labels
     candidates = staged(members.groupBy("set_hash").agg(F.sum("c").alias("weight")), "candidates")
-    sets = staged(candidate_sets(docs, candidates, width), "sets")
+    sets = staged(candidate_sets(docs, nodes.select("set_hash", "text_hash").join(candidates, "set_hash", "left_semi").select("text_hash"), width), "sets")
     info = staged(nodes.select("set_hash", "n", "signature").join(candidates.select("set_hash"), "set_hash", "left_semi"), "info")
     current, tried = candidates.select("set_hash", F.col("set_hash").alias("label"), "weight"), None
     for round_ in range(PIVOTS + 1):
@@ -213,8 +214,8 @@ def prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
-def candidate_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
-    """(set_hash, members) of the candidate sets, made anew from the texts rather than kept for all of them."""
+def candidate_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(set_hash, members) of the texts of these hashes, made anew rather than kept for all texts. Texts are shuffled rather than sets, which are larger."""
 
     @lean
     def build(batches):
@@ -223,8 +224,8 @@ def candidate_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFr
                 sets = [s for s in shingle_sets(data, at, width) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_hash", "members"])
 
-    made = docs.select("text").mapInArrow(build, "set_hash binary, members binary")
-    return made.join(candidates, "set_hash", "left_semi").dropDuplicates(["set_hash"])
+    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash", "left_semi").select("text")
+    return texts.mapInArrow(build, "set_hash binary, members binary").dropDuplicates(["set_hash"])
 
 
 def confirm(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
