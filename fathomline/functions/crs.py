@@ -78,8 +78,8 @@ def projection_query(source: str, code: int) -> str:
 def project(df: DataFrame, lon: str, lat: str, x: str, y: str, code: int, where: Column) -> DataFrame:
     """`df` with x and y; null outside `where` and where the formula has no finite value (poles, points near a quarter turn from the meridian).
 
-    Each step is bound to its name by a one-element array, so it is computed once and the optimizer, which would put the
-    steps' texts in each other's place, keeps one expression of bounded size.
+    Each step is bound to its name by a one-element array, so it is computed once. The point comes out of a generator of one row:
+    the optimizer, which would put its whole text in the place of each later use, cannot look through that.
     """
     far = F.lit(False) if code == 3857 else F.abs(F.pmod(F.col(lon) - (6 * (code % 100) - 183) + 180, F.lit(360.0)) - 180) > 80
     good = where & ~far & (F.abs(F.col(lat)) < 90)
@@ -87,6 +87,6 @@ def project(df: DataFrame, lon: str, lat: str, x: str, y: str, code: int, where:
     text = f"named_struct('x', {parts.pop('x')}, 'y', {parts.pop('y')})"
     for name, step in reversed([("lon", f"`{lon}`"), ("lat", f"`{lat}`"), *parts.items()]):
         text = f"element_at(transform(array({step}), {name} -> {text}), 1)"
-    point = df.withColumn("_point", F.when(good, F.expr(text)))
+    point = df.select("*", F.explode(F.array(F.when(good, F.expr(text)))).alias("_point"))
     fine = (F.abs(F.col("_point.x")) < 1e9) & (F.abs(F.col("_point.y")) < 1e9)
     return point.withColumns({x: F.when(fine, F.col("_point.x")), y: F.when(fine, F.col("_point.y"))}).drop("_point")

@@ -185,14 +185,26 @@ def log_frames(spark, sf_dir):
 
 
 def mavlink_decode(spark, sf_dir):
-    return mavlink.gps_with_utc(log_frames(spark, sf_dir))
+    return mavlink.gps_with_utc(log_frames(spark, sf_dir)).withColumn("time_usec", F.col("time_usec").cast("long"))
 
 
 def boot_epoch(spark, sf_dir):
     return mavlink.boot_epochs(log_frames(spark, sf_dir))
 
 
-NAMES = (qc_status, numeric_parse, project_utm, duplicates, accepted_points, survey_report, tin_faces, face_edges, face_filter_manual, face_filter_auto, raster_depth, nn_spacing, mesh_vertices, las_points, xyz_lines, mavlink_crc, mavlink_decode, boot_epoch)
+def surface_report(spark, sf_dir):
+    """What the report says of spacing, raster, edges, triangles, depths and LAS scaling, with automatic edge and pixel."""
+    points, faces = _corners(spark, sf_dir)
+    spacing = median_spacing(points)
+    pixel, edge = s.automatic_pixel(spacing), s.automatic_edge(faces, spacing)
+    grid, las = s.grid_of(points, pixel), las_records(points)[1]
+    kept = s.filter_faces(faces, edge).agg(F.count("*").alias("triangles_before_filter"), F.count_if("kept").alias("triangles_after_filter"))
+    depths = points.agg(F.min("depth_m").alias("minimum_depth_m"), F.max("depth_m").alias("maximum_depth_m"))
+    fixed = {"median_spacing_m": round(spacing, 6), "pixel_size_m": round(pixel, 6), "max_triangle_edge_m": round(edge, 6), "raster_width": grid["width"], "raster_height": grid["height"], **{f"las_scale_{c}": v for c, v in zip("xyz", las["scales"], strict=True)}, **{f"las_offset_{c}": v for c, v in zip("xyz", las["offsets"], strict=True)}}
+    return kept.crossJoin(depths).select("*", *(F.lit(v).alias(n) for n, v in fixed.items()))  # one row each
+
+
+NAMES = (surface_report, qc_status, numeric_parse, project_utm, duplicates, accepted_points, survey_report, tin_faces, face_edges, face_filter_manual, face_filter_auto, raster_depth, nn_spacing, mesh_vertices, las_points, xyz_lines, mavlink_crc, mavlink_decode, boot_epoch)
 
 
 def queries() -> dict:
@@ -203,6 +215,8 @@ _DUP = f"""{_FLAGGED}, ranked AS (SELECT *, CASE WHEN reason = '' THEN row_numbe
 cells AS (SELECT xr, yr, median(depth) AS d, median(beam) AS b, count(*) AS n FROM keyed WHERE reason = '' GROUP BY xr, yr)"""
 _MEDIAN = "spacing AS (SELECT median(d) AS m FROM (SELECT min(sqrt((a.x_m-b.x_m)*(a.x_m-b.x_m)+(a.y_m-b.y_m)*(a.y_m-b.y_m))) AS d FROM pts a JOIN pts b ON a.pid <> b.pid GROUP BY a.pid))"
 _LIMIT = "limits AS (SELECT CASE WHEN (SELECT min(e) FROM edges) <= 4.0::DOUBLE * m THEN 4.0::DOUBLE * m ELSE 1.001::DOUBLE * (SELECT min(e) FROM edges) END AS t FROM spacing)"
+#: The clock of log_frames's only system time, less its time since boot.
+_EPOCH = "(1790845947987000 + n_nationkey - 310767000)::DOUBLE / 1e6::DOUBLE"
 ORACLE_SQL = {
     "qc_status": f"WITH {_FLAGGED} SELECT CASE WHEN reason = '' THEN 'valid' ELSE 'rejected' END AS quality_status, reason AS quality_reason, count(*) AS rows FROM judged GROUP BY 1, 2",
     "numeric_parse": f"WITH {_FLAGGED} SELECT source_row, lat, lon, beam FROM parsed",
@@ -221,6 +235,14 @@ hit AS (SELECT "row", col, p, q, r, e, ad, bd, cd, (("by"-cy)*(px-cx)+(cx-bx)*(p
   FROM edges JOIN grid ON px BETWEEN least(ax, bx, cx) - 1 AND greatest(ax, bx, cx) + 1 AND py BETWEEN least(ay, "by", cy) - 1 AND greatest(ay, "by", cy) + 1),
 best AS (SELECT *, row_number() OVER (PARTITION BY "row", col ORDER BY p, q, r) AS k FROM hit WHERE least(l1, l2, 1 - l1 - l2) >= -1e-12)
 SELECT "row", col, round(l1 * ad + l2 * bd + (1 - l1 - l2) * cd, 6) AS depth FROM best WHERE k = 1 AND e <= {MANUAL_EDGE}""",
+    "surface_report": f"""WITH {_TIN}, {_MEDIAN}, {_LIMIT}, px AS (SELECT greatest(m / 2, 0.05::DOUBLE) AS p FROM spacing), ext AS (SELECT min(x_m) w, max(x_m) e, min(y_m) s, max(y_m) n, min(depth_m) lo, max(depth_m) hi FROM pts)
+SELECT (SELECT count(*) FROM edges) AS triangles_before_filter, (SELECT count(*) FROM edges WHERE e <= t) AS triangles_after_filter, lo AS minimum_depth_m, hi AS maximum_depth_m, round(m, 6) AS median_spacing_m, round(p, 6) AS pixel_size_m, round(t, 6) AS max_triangle_edge_m,
+  CAST(greatest(1, ceil((e - w) / p)) AS INT) AS raster_width, CAST(greatest(1, ceil((n - s) / p)) AS INT) AS raster_height, 0.001::DOUBLE AS las_scale_x, 0.001::DOUBLE AS las_scale_y, 0.001::DOUBLE AS las_scale_z, w AS las_offset_x, s AS las_offset_y, -hi AS las_offset_z FROM ext, px, limits, spacing""",
+    "mavlink_crc": """SELECT n_name, CAST(list_reduce(list_prepend(65535::BIGINT, list_transform(range(1, length(n_name) + 1), lambda i: ascii(substr(n_name, i, 1))::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda v, i: xor(v >> 1, (v & 1) * 33800))) AS INT) AS crc FROM nation""",
+    "mavlink_decode": f"""SELECT CAST(n_nationkey AS VARCHAR) AS path, 22::BIGINT AS "offset", 320767000::BIGINT AS time_usec, (559345784 - n_nationkey)::DOUBLE / 1e7::DOUBLE AS lat_deg, 373812133::DOUBLE / 1e7::DOUBLE AS lon_deg,
+  183645::DOUBLE / 1000::DOUBLE AS alt_m, 6::INT AS fix_type, {_EPOCH} + 320767000::DOUBLE / 1e6::DOUBLE AS utc_s FROM nation""",
+    "boot_epoch": f"SELECT CAST(n_nationkey AS VARCHAR) AS path, {_EPOCH} AS boot_epoch_s, 0::BIGINT AS frames_bad_crc FROM nation",
     "nn_spacing": f"WITH {_PIDS} SELECT a.pid, round(min(sqrt((a.x_m-b.x_m)*(a.x_m-b.x_m)+(a.y_m-b.y_m)*(a.y_m-b.y_m))), 6) AS distance FROM pts a JOIN pts b ON a.pid <> b.pid GROUP BY a.pid",
     "mesh_vertices": f"WITH {_TIN}, used AS (SELECT p AS pid FROM edges WHERE e <= {MANUAL_EDGE} UNION SELECT q FROM edges WHERE e <= {MANUAL_EDGE} UNION SELECT r FROM edges WHERE e <= {MANUAL_EDGE}) SELECT row_number() OVER (ORDER BY pid) - 1 AS vid, x_m - (SELECT min(x_m) FROM pts) AS x, y_m - (SELECT min(y_m) FROM pts) AS y, -depth_m AS z FROM pts JOIN used USING (pid)",
     "las_points": f"WITH {_PIDS}, lo AS (SELECT min(x_m) x, min(y_m) y, min(-depth_m) z FROM pts) SELECT CAST(round_even((x_m - x) / 0.001::DOUBLE, 0) AS INT) AS x, CAST(round_even((y_m - y) / 0.001::DOUBLE, 0) AS INT) AS y, CAST(round_even((-depth_m - z) / 0.001::DOUBLE, 0) AS INT) AS z, CAST(trunc(greatest(0, least(beam_distance_m * 1000, 65535))) AS INT) AS intensity FROM pts, lo",

@@ -72,6 +72,33 @@ def test_crc():
     assert crc16(b"123456789") == 0x6F91
 
 
+def test_crc_column(spark):
+    from pyspark.sql import functions as F
+
+    from fathomline.functions.crc import crc16_column
+
+    data = [b"", b"123456789", bytes(range(256)), None]
+    rows = spark.createDataFrame([(i, bytearray(d) if d is not None else None) for i, d in enumerate(data)], "i int, d binary").select("i", crc16_column(F.col("d")).alias("crc")).orderBy("i").collect()
+    assert [r.crc for r in rows] == [None if d is None else crc16(d) for d in data]
+
+
+def test_stream(spark, tmp_path):
+    from fathomline.streaming.ingest import quality_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("lat,lon,beam\n55.93,37.38,2.5\n91,37.38,2.5\n")
+    stream = quality_stream(spark, str(tmp_path / "in"), ["lat", "lon", "beam"], CONFIG)
+    run = stream.writeStream.format("memory").queryName("flagged").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    assert sorted((r.quality_status, r.lat) for r in spark.table("flagged").collect()) == [("rejected", "91"), ("valid", "55.93")]
+
+
+def test_projection_is_computed_once(spark):
+    df = spark.createDataFrame([(2, "55.9", "37.3", "2")], "source_row long, lat string, lon string, beam string")
+    plan = q.accepted_points(q.flag_quality(df, CONFIG))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("ATAN2(") == 1
+
+
 def test_frames():
     good = frame(2, struct.pack("<QI", 1790845947987000, 310767))
     bad = good[:-1] + bytes([good[-1] ^ 0xFF])
