@@ -467,6 +467,21 @@ def test_cascade_is_exact(spark):
     assert len(levels) > 1 and found.exceptAll(listed).count() == 0 == listed.exceptAll(found).count()
 
 
+def test_verdicts_come_from_the_cascades(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(i, f"http://{h}.{t}/{p}/{k}") for i, (h, t, p, k) in enumerate((h, t, p, k) for h in ("a", "example", "b.example") for t in ("com", "net", "org") for p in ("en", "de", "es") for k in range(10))], "page_id long, url string")
+    rules = [("block", f"{h}.com", f"/{p}/{k}") for h in ("a", "example") for p in ("en", "de") for k in range(10) if k % 3] + [("allow", "b.example.com", "/en/1"), ("block", "org", "")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(pages, rules).collect()}
+    for r in pages.collect():
+        host, path = r.url[7:].split("/", 1)
+        fit = [(len(h) + len(p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and f"/{path}".startswith(p)]
+        assert got[r.page_id] == (max(fit)[2:] if fit else (None, "allow"))
+    assert url_filter.url_filter(pages, []).where("rule IS NULL AND verdict = 'allow'").count() == 270
+    monkeypatch.setattr(url_filter, "is_listed", lambda levels, key: F.lit(False))
+    assert url_filter.url_filter(pages, rules).where("rule IS NOT NULL OR verdict = 'block'").count() == 0
+
+
 def test_mix(spark, docs, none, labels):
     rows = [(i, prose(int(RNG.integers(1, 60))), [None, "b", "a", "c"][min(3, i % 7)]) for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
