@@ -1,9 +1,11 @@
 """Language-model scoring: a log-bilinear model over word classes, trained by noise-contrastive estimation in numpy.
 
 Classes: the HEAD most frequent words, the end of a text, and SUFFIXES classes of all other words by a hash of their last three
-bytes. The score of the class after class u is r_u . q_w + b_w, trained on the class pair counts of all training tokens with the noise
-taken in expectation, then normalised by batched matrix products. Inside a suffix class a word has its add-one share. So
-P(token | previous) = P(class | previous class) * P(word | class), which sums to one, one unseen word counted in each suffix class.
+bytes. The score of class w after classes u1 (the token before), u2, ... is (R_1[u1] + R_2[u2] + ...) . Q[w] + b[w], with CONTEXT
+tokens of context. Training starts from the class pair counts of all training tokens with one token of context and the noise taken in
+expectation; ROUNDS passes over all training tokens follow, in which each task descends on its own tokens against noise that it
+draws, and the tasks' parameters are averaged by their tokens. Scores are normalised by batched matrix products. Inside a suffix class a word has its add-one share. So
+P(token | previous) = P(class | previous classes) * P(word | class), which sums to one, one unseen word counted in each suffix class.
 
 Word counts are exact and cover the corpus. Words of at least 1/FREQUENT of all tokens, so at most FREQUENT of them, are
 told to every task; the others are looked up where their counts are, in packed blocks, one row for each block of texts and word bucket.
@@ -16,17 +18,23 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.storage import staged
-from fathomline.llm.text import LOWER, U, mix, segment_sums, slices, words
+from fathomline.llm.text import LOWER, U, lean, mix, segment_sums, slices, words
 
 HEAD, SUFFIXES = 767, 256
 CLASSES = HEAD + 1 + SUFFIXES
 END = HEAD
 FREQUENT = 10_000
+CONTEXT = 2
 DIMENSIONS, NOISE, STEPS, RATE = 24, 10, 120, 0.05
+#: Passes over the training tokens, tokens and noise tokens of a step, the step's rate in the first pass.
+ROUNDS, STEP_TOKENS, DRAWN, PASS_RATE = 2, 2048, 64, 0.03
+#: Tasks whose sums one task adds up; pieces that class pairs and parameters are cut into for that.
+FAN, STRIPS, PIECES = 256, 256, 16
 HELD_OUT, MODULUS = 2, 7
 COUNTS = "p int, hashes binary, counts binary, suffixes binary, n long, v long"
 LOOKUPS = "block long, p int, a binary, b binary, c binary, d binary"
@@ -135,44 +143,69 @@ def chained(w, kind: np.ndarray):
     return current, before, at
 
 
+def contexts(before: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Classes one, two, ... CONTEXT tokens before each token; before a text's first token stands the end class."""
+    found = [before]
+    for _ in range(CONTEXT - 1):
+        last = np.concatenate([[END], found[-1]])[: len(before)].astype(np.int64)
+        last[at[:-1]] = END
+        found.append(last)
+    return found
+
+
+def training_tokens(batches, frequent, class_of):
+    """Class of every training token and its context, slice by slice."""
+    for batch in batches:
+        train = ~is_held_out(batch.column("doc_id").to_pylist())
+        for first, end, data, at in slices(batch.column("text"), 1 << 20):
+            w, suffix = tokens(data, at)
+            current, before, starts = chained(w, classes(w, suffix, frequent, class_of)[0])
+            use = np.repeat(train[first:end], np.diff(starts))
+            yield current[use], [c[use] for c in contexts(before, starts)]
+
+
+def folded(parts: DataFrame, add, schema: str) -> list:
+    """Rows (s, node, ...) of all tasks added up by `add`, FAN tasks at a time and then those sums: one row for each s."""
+    near = parts.withColumn("node", F.floor(F.col("node") / FAN).cast("int")).groupBy("s", "node").applyInPandas(add, schema)
+    return near.withColumn("node", F.lit(0)).groupBy("s", "node").applyInPandas(add, schema).collect()
+
+
 def pair_counts(docs: DataFrame, frequent, class_of) -> np.ndarray:
     """How often each class follows each, over all training tokens: CLASSES x CLASSES, whatever the corpus."""
-    strips = 16
+    schema = "s int, node int, keys binary, n binary"
 
+    @lean
     def count(batches):
         total = np.zeros(CLASSES * CLASSES, np.int64)
-        for batch in batches:
-            train = ~is_held_out(batch.column("doc_id").to_pylist())
-            for first, end, data, at in slices(batch.column("text")):
-                w, suffix = tokens(data, at)
-                current, before, starts = chained(w, classes(w, suffix, frequent, class_of)[0])
-                use = np.repeat(train[first:end], np.diff(starts))
-                key, n = np.unique(before[use] * CLASSES + current[use], return_counts=True)
-                total[key] += n
-        size = len(total) // strips
-        for s in range(strips):
+        for current, before in training_tokens(batches, frequent, class_of):
+            key, n = np.unique(before[0] * CLASSES + current, return_counts=True)
+            total[key] += n
+        node, size = TaskContext.get().partitionId(), len(total) // STRIPS
+        for s in range(STRIPS):
             key = np.flatnonzero(total[s * size : (s + 1) * size]) + s * size
             if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([key.astype(np.int32).tobytes()], pa.binary()), pa.array([total[key].tobytes()], pa.binary())], ["s", "keys", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([node], pa.int32()), pa.array([key.astype(np.int32).tobytes()], pa.binary()), pa.array([total[key].tobytes()], pa.binary())], ["s", "node", "keys", "n"])
 
     def add(key, rows):
         k, n = np.frombuffer(b"".join(rows["keys"]), np.int32), np.frombuffer(b"".join(rows["n"]), np.int64)
         k, back = np.unique(k, return_inverse=True)
-        return pd.DataFrame({"keys": [k.tobytes()], "n": [np.bincount(back, n, len(k)).astype(np.int64).tobytes()]})
+        return pd.DataFrame({"s": [key[0]], "node": [key[1]], "keys": [k.tobytes()], "n": [np.bincount(back, n, len(k)).astype(np.int64).tobytes()]})
 
     out = np.zeros(CLASSES * CLASSES, np.int64)
-    parts = docs.select("doc_id", "text").mapInArrow(count, "s int, keys binary, n binary")
-    for r in parts.groupBy("s").applyInPandas(add, "keys binary, n binary").collect():
+    for r in folded(docs.select("doc_id", "text").mapInArrow(count, schema), add, schema):
         out[np.frombuffer(r["keys"], np.int32)] = np.frombuffer(r["n"], np.int64)
     return out.reshape(CLASSES, CLASSES)
 
 
-def train(pairs: np.ndarray) -> np.ndarray:
-    """Normalised natural log probabilities [class before, class]: NCE with NOISE noise tokens a token, in expectation."""
+def noise_of(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.sum(0) + 1.0) / (max(int(pairs.sum()), 1) + CLASSES)
+
+
+def start(pairs: np.ndarray) -> list[np.ndarray]:
+    """Parameters [R, Q, b] with one token of context: NCE with NOISE noise tokens a token, in expectation."""
     rng = np.random.Generator(np.random.PCG64(3))
-    total = max(int(pairs.sum()), 1)
-    noise = (pairs.sum(0) + 1.0) / (total + CLASSES)
-    data = (pairs / total).astype(np.float32)
+    noise = noise_of(pairs)
+    data = (pairs / max(int(pairs.sum()), 1)).astype(np.float32)
     against = (NOISE * data.sum(1)[:, None] * noise).astype(np.float32)
     shift = np.log(NOISE * noise).astype(np.float32)
     params = [rng.normal(0, 0.1, (CLASSES, DIMENSIONS)).astype(np.float32), rng.normal(0, 0.1, (CLASSES, DIMENSIONS)).astype(np.float32), np.log(noise).astype(np.float32)]
@@ -186,11 +219,90 @@ def train(pairs: np.ndarray) -> np.ndarray:
             second[i] = 0.99 * second[i] + 0.01 * d * d
             params[i] = params[i] - RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-9)
     r, q, b = params
-    out = np.zeros((CLASSES, CLASSES), np.float32)
-    for i in range(0, CLASSES, 128):
-        s = (r[i : i + 128] @ q.T + b).astype(np.float64)
-        top = s.max(1, keepdims=True)
-        out[i : i + 128] = s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
+    return [np.concatenate([r[None], np.zeros((CONTEXT - 1, *r.shape), np.float32)]), q, b]
+
+
+def gradients(params, current: np.ndarray, before: list[np.ndarray], drawn: np.ndarray, shift: np.ndarray) -> list[np.ndarray]:
+    """Mean gradients of the NCE loss: each token against NOISE noise tokens, estimated from those drawn for all of them."""
+    r, q, b = params
+
+    def by_class(index, values):
+        return np.stack([np.bincount(index, v, CLASSES) for v in np.ascontiguousarray(values.T)], 1)
+
+    v = sum(r[k][c] for k, c in enumerate(before))
+    own = np.einsum("ij,ij->i", v, q[current]) + b[current] - shift[current]
+    other = v @ q[drawn].T + b[drawn] - shift[drawn]
+    g = -1 / (1 + np.exp(np.clip(own, -30, 30)))
+    h = NOISE / len(drawn) / (1 + np.exp(-np.clip(other, -30, 30)))
+    dv = g[:, None] * q[current] + h @ q[drawn]
+    dq = by_class(current, g[:, None] * v) + by_class(drawn, h.T @ v)
+    db = np.bincount(current, g, CLASSES) + np.bincount(drawn, h.sum(0), CLASSES)
+    return [(d / len(current)).astype(np.float32) for d in (np.stack([by_class(c, dv) for c in before]), dq, db)]
+
+
+def descend(params, squares, current, before, noise: np.ndarray, rng, rate: float) -> None:
+    """Adagrad steps in place over these tokens, STEP_TOKENS at a time; noise is drawn anew for each step."""
+    shift, ends = np.log(NOISE * noise).astype(np.float32), np.cumsum(noise) / noise.sum()
+    for i in range(0, len(current), STEP_TOKENS):
+        drawn = np.minimum(np.searchsorted(ends, rng.random(DRAWN), "right"), CLASSES - 1)
+        for p, a, d in zip(params, squares, gradients(params, current[i : i + STEP_TOKENS], [c[i : i + STEP_TOKENS] for c in before], drawn, shift), strict=True):
+            a += d * d
+            p -= rate * d / np.sqrt(a)
+
+
+def trained(docs: DataFrame, frequent, class_of, pairs: np.ndarray) -> list[np.ndarray]:
+    """Parameters after ROUNDS passes over all training tokens. A task run again draws the same noise."""
+    noise, params = noise_of(pairs), start(pairs)
+    schema = "s int, node int, n long, sums binary"
+
+    def one_pass(turn: int, given):
+        @lean
+        def learn(batches):
+            node, seen = TaskContext.get().partitionId(), 0
+            rng = np.random.Generator(np.random.PCG64([turn, node]))
+            own, squares = [p.copy() for p in given], [np.full_like(p, 1e-8) for p in given]
+            for current, before in training_tokens(batches, frequent, class_of):
+                descend(own, squares, current, before, noise, rng, PASS_RATE / (1 + turn))
+                seen += len(current)
+            if seen:
+                flat = np.concatenate([p.ravel() for p in own]).astype(np.float64) * seen
+                for s, piece in enumerate(np.array_split(flat, PIECES)):
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([node], pa.int32()), pa.array([seen], pa.int64()), pa.array([piece.tobytes()], pa.binary())], ["s", "node", "n", "sums"])
+
+        return docs.select("doc_id", "text").mapInArrow(learn, schema)
+
+    def add(key, rows):
+        total = sum(np.frombuffer(r) for r in rows.sort_values(["n", "sums"])["sums"])
+        return pd.DataFrame({"s": [key[0]], "node": [key[1]], "n": [rows["n"].sum()], "sums": [total.tobytes()]})
+
+    for turn in range(ROUNDS):
+        rows = sorted(folded(one_pass(turn, params), add, schema))
+        if rows:
+            flat = np.concatenate([np.frombuffer(r["sums"]) / r["n"] for r in rows]).astype(np.float32)
+            ends = np.cumsum([p.size for p in params])
+            params = [f.reshape(p.shape) for f, p in zip(np.split(flat, ends[:-1]), params, strict=True)]
+    return params
+
+
+def log_probabilities(params, current: np.ndarray, before: list[np.ndarray], step: int = 2048) -> np.ndarray:
+    """Normalised natural log probability of each class after its context; each distinct context is normalised once."""
+    r, q, b = params
+    key = before[0]
+    for c in before[1:]:
+        key = key * CLASSES + c
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    v = sum(r[k][c[first]] for k, c in enumerate(before))
+    total = np.zeros(len(first), np.float32)
+    for i in range(0, len(first), step):
+        s = v[i : i + step] @ q.T + b
+        top = s.max(1)
+        s -= top[:, None]
+        np.exp(s, out=s)
+        total[i : i + step] = top + np.log(s.sum(1))
+    out = np.zeros(len(current))
+    for i in range(0, len(current), 1 << 16):
+        c, u = current[i : i + (1 << 16)], back[i : i + (1 << 16)]
+        out[i : i + (1 << 16)] = np.einsum("ij,ij->i", v[u], q[c]) + b[c] - total[u]
     return out
 
 
@@ -218,13 +330,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
     class_of[top] = np.arange(len(top))
     in_suffix, of_suffix = suffix_totals(counts, frequent[top])
     shares = np.log10(in_suffix + of_suffix + 1.0)
-    given = spark.sparkContext.broadcast((train(pair_counts(docs, frequent, class_of)), frequent, how_often, class_of, shares))
+    given = spark.sparkContext.broadcast((trained(docs, frequent, class_of, pair_counts(docs, frequent, class_of)), frequent, how_often, class_of, shares))
     ln10, low = np.log(10.0), np.log10(total + distinct + 1.0)
 
     def local(batches):
-        from pyspark import TaskContext
-
-        table, frequent, how_often, class_of, shares = given.value
+        params, frequent, how_often, class_of, shares = given.value
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -232,7 +342,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 w, suffix = tokens(data, at)
                 kind, place = classes(w, suffix, frequent, class_of)
                 current, before, starts = chained(w, kind)
-                score = segment_sums(table[before, current].astype(np.float64), starts) / ln10
+                score = segment_sums(log_probabilities(params, current, contexts(before, starts)), starts) / ln10
                 log_count = np.where(place >= 0, np.log10(how_often[place] + 1.0), 0.0) if len(frequent) else np.zeros(len(place))
                 inner = kind > END
                 score += segment_sums(np.where(inner, log_count - shares[np.where(inner, kind - END - 1, 0)], 0.0), w.first)

@@ -445,8 +445,76 @@ def test_language_model(docs, none):
 def test_class_probabilities_sum_to_one():
     pairs = np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
     pairs[0, 1], pairs[1, 0] = 500, 300
-    p = np.exp(lm.train(pairs).astype(float))
-    assert np.allclose(p.sum(1), 1, atol=1e-3) and p[0, 1] > 0.9
+    params = lm.start(pairs)
+    every = np.arange(lm.CLASSES)
+    for u, w in ((0, 1), (5, 1)):
+        p = np.exp(lm.log_probabilities(params, every, [np.full(lm.CLASSES, u), np.full(lm.CLASSES, 9)]))
+        assert p.sum() == pytest.approx(1, abs=1e-3) and (u or p[w] > 0.9)
+
+
+def test_log_probabilities_by_brute_force():
+    rng = np.random.default_rng(1)
+    r, q, b = params = [rng.normal(0, 0.5, s).astype(np.float32) for s in ((lm.CONTEXT, lm.CLASSES, lm.DIMENSIONS), (lm.CLASSES, lm.DIMENSIONS), (lm.CLASSES,))]
+    current, before = rng.integers(0, lm.CLASSES, 300), [rng.integers(0, 4, 300), rng.integers(0, 4, 300)]
+    got = lm.log_probabilities(params, current, before, step=7)
+    for i in range(300):
+        s = [float(b[w] + (r[0][before[0][i]] + r[1][before[1][i]]) @ q[w]) for w in range(lm.CLASSES)]
+        assert got[i] == pytest.approx(s[current[i]] - np.log(np.exp(s).sum()), abs=1e-3)
+    assert len(lm.log_probabilities(params, current[:0], [c[:0] for c in before])) == 0
+
+
+def test_contexts():
+    before, at = np.array([lm.END, 4, 5, lm.END, lm.END, 7]), np.array([0, 3, 4, 6])
+    assert [c.tolist() for c in lm.contexts(before, at)] == [before.tolist(), [lm.END, lm.END, 4, lm.END, lm.END, lm.END]]
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(2)
+    params = [rng.normal(0, 0.3, s) for s in ((lm.CONTEXT, lm.CLASSES, lm.DIMENSIONS), (lm.CLASSES, lm.DIMENSIONS), (lm.CLASSES,))]
+    current, before, drawn = rng.integers(0, 6, 40), [rng.integers(0, 6, 40), rng.integers(0, 6, 40)], np.array([0, 1, 1, 5])
+    shift = rng.normal(0, 1, lm.CLASSES)
+
+    def loss():
+        r, q, b = params
+        v = r[0][before[0]] + r[1][before[1]]
+        own, other = (v * q[current]).sum(1) + b[current] - shift[current], v @ q[drawn].T + b[drawn] - shift[drawn]
+        return np.mean(np.log1p(np.exp(-own)) + lm.NOISE / len(drawn) * np.log1p(np.exp(other)).sum(1))
+
+    for p, d in zip(params, lm.gradients(params, current, before, drawn, shift), strict=True):
+        for at in ([0, 3, 2], [1, 5, 7], [0, 1, 1]) if p.ndim == 3 else ([1, 3], [5, 0]) if p.ndim == 2 else ([1], [4]):
+            at, was = tuple(at), p[tuple(at)]
+            p[at] = was + 1e-5
+            more = loss()
+            p[at] = was - 1e-5
+            less = loss()
+            p[at] = was
+            assert d[at] == pytest.approx((more - less) / 2e-5, abs=1e-4)
+
+
+def test_model_learns_from_two_tokens():
+    """Class 2 or 3 after class 1 depends on the class before it, 4 or 5, which one token of context cannot tell."""
+    rng = np.random.default_rng(3)
+    which = rng.integers(0, 2, 100_000)
+    current = np.stack([4 + which, np.ones_like(which), 2 + which], 1).ravel()
+    one = np.concatenate([[lm.END], current[:-1]])
+    two = np.concatenate([[lm.END], one[:-1]])
+    pairs = np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
+    np.add.at(pairs, (one, current), 1)
+    params = lm.start(pairs)
+    ask = lambda: np.exp(lm.log_probabilities(params, np.array([2, 3, 2, 3]), [np.ones(4, int), np.array([4, 4, 5, 5])]))
+    assert ask() == pytest.approx(0.5, abs=0.05)
+    lm.descend(params, [np.full_like(p, 1e-8) for p in params], current, [one, two], lm.noise_of(pairs), np.random.default_rng(4), lm.PASS_RATE)
+    right, wrong, wrong_too, right_too = ask()
+    assert min(right, right_too) > 0.9 and max(wrong, wrong_too) < 0.1
+
+
+def test_parts_are_folded(spark):
+    """Pair counts of many tasks, and parameters averaged by tokens, are the same from one task and from many."""
+    texts = spark.createDataFrame([(i, "a b a c") for i in range(20)], "doc_id long, text string").cache()
+    none, no_class = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    counts = [lm.pair_counts(texts.repartition(n, "doc_id"), none, no_class) for n in (1, 7)]
+    learnt = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(20))
+    assert (counts[0] == counts[1]).all() and counts[0].sum() == 5 * learnt
 
 
 def test_url_filter(spark):
