@@ -225,19 +225,31 @@ def start(pairs: np.ndarray) -> list[np.ndarray]:
 def gradients(params, current: np.ndarray, before: list[np.ndarray], drawn: np.ndarray, shift: np.ndarray) -> list[np.ndarray]:
     """Mean gradients of the NCE loss: each token against NOISE noise tokens, estimated from those drawn for all of them."""
     r, q, b = params
+    columns = np.arange(q.shape[1])
+
+    def places(index):
+        return (index[:, None] * len(columns) + columns).ravel()
 
     def by_class(index, values):
-        return np.stack([np.bincount(index, v, CLASSES) for v in np.ascontiguousarray(values.T)], 1)
-
-    v = sum(r[k][c] for k, c in enumerate(before))
-    own = np.einsum("ij,ij->i", v, q[current]) + b[current] - shift[current]
-    other = v @ q[drawn].T + b[drawn] - shift[drawn]
-    g = -1 / (1 + np.exp(np.clip(own, -30, 30)))
-    h = NOISE / len(drawn) / (1 + np.exp(-np.clip(other, -30, 30)))
-    dv = g[:, None] * q[current] + h @ q[drawn]
-    dq = by_class(current, g[:, None] * v) + by_class(drawn, h.T @ v)
+        return np.bincount(index, values.ravel(), q.size).reshape(q.shape)
+
+    v = r[0][before[0]]
+    for k in range(1, len(before)):
+        v += r[k][before[k]]
+    target, against = q[current], q[drawn]
+    own = np.einsum("ij,ij->i", v, target) + b[current] - shift[current]
+    h = v @ against.T
+    h += b[drawn] - shift[drawn]
+    with np.errstate(over="ignore"):  # an infinite odds is a share of zero
+        g = -1 / (1 + np.exp(own))
+        np.exp(np.negative(h, out=h), out=h)
+    h += 1
+    np.divide(h.dtype.type(NOISE / len(drawn)), h, out=h)
+    target *= g[:, None]
+    target += h @ against
+    dq = by_class(places(current), g[:, None] * v) + by_class(places(drawn), h.T @ v)
     db = np.bincount(current, g, CLASSES) + np.bincount(drawn, h.sum(0), CLASSES)
-    return [(d / len(current)).astype(np.float32) for d in (np.stack([by_class(c, dv) for c in before]), dq, db)]
+    return [(d / len(current)).astype(q.dtype) for d in (np.stack([by_class(places(c), target) for c in before]), dq, db)]
 
 
 def descend(params, squares, current, before, noise: np.ndarray, rng, rate: float) -> None:
@@ -284,7 +296,7 @@ def trained(docs: DataFrame, frequent, class_of, pairs: np.ndarray) -> list[np.n
     return params
 
 
-def log_probabilities(params, current: np.ndarray, before: list[np.ndarray], step: int = 2048) -> np.ndarray:
+def log_probabilities(params, current: np.ndarray, before: list[np.ndarray], step: int = 128) -> np.ndarray:
     """Normalised natural log probability of each class after its context; each distinct context is normalised once."""
     r, q, b = params
     key = before[0]
