@@ -509,7 +509,7 @@ def test_model_learns_from_two_tokens():
 
 
 def test_parts_are_folded(spark):
-    """Pair counts of many tasks, and parameters averaged by tokens, are the same from one task and from many."""
+    """Pair counts are the same from one task and from many."""
     texts = spark.createDataFrame([(i, "a b a c") for i in range(20)], "doc_id long, text string").cache()
     none, no_class = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     counts = [lm.pair_counts(texts.repartition(n, "doc_id"), none, no_class) for n in (1, 7)]
