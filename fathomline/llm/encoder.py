@@ -4,7 +4,7 @@ Byte-level BPE never merges across the places where its pattern splits. `pieces`
 (before a space that follows a visible character, after a line break or tab that stands alone, between an ASCII letter and punctuation;
 the last of several white spaces goes with what follows, so no cut is after those),
 so the ids of a text are those of its pieces, one after the other. The text of an added token gives that token's id. Pieces are known by a 64-bit hash of their bytes;
-what a worker has encoded stays, up to `KEPT` pieces.
+what a worker has encoded stays, up to `KEPT` pieces. New pieces go to the library many to a text, with an added token between them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from tokenizers import Tokenizer
 from fathomline.llm.text import IS_SPACE, U, span_hashes
 
 KEPT = 1_000_000
+#: New pieces of a text that goes to the library; of many more, its own cache of words is of less use.
+JOINED = 64
 #: Last bytes of characters that Unicode counts as white space; no cut follows them.
 WIDE_SPACE_END = np.zeros(256, bool)
 WIDE_SPACE_END[[0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
@@ -50,7 +52,11 @@ def pieces(data: np.ndarray, at: np.ndarray, added: tuple[bytes, ...] = ()) -> t
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        tokens = self.tokenizer.get_added_tokens_decoder()
+        self.added = tuple(t.content.encode() for t in tokens.values())
+        #: An added token that takes nothing of what is beside it, or None; and the bytes that any added token begins or ends with.
+        self.between = next(((i, t.content.encode()) for i, t in tokens.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
+        self.edges = b"".join(t[:1] + t[-1:] for t in self.added)
         self.forget()
 
     def forget(self) -> None:
@@ -59,16 +65,40 @@ class Encoder:
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def encode_pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of these pieces, how many each has, and the order of the pieces in both.
+
+        The library cuts added tokens out before it looks at the rest, so pieces with one between them give the ids that they give alone. A piece with a byte that an added token
+        begins or ends with might hold one or make one with its neighbour: it goes alone.
+        """
+        alone = np.array([self.between is None or len(t.translate(None, self.edges)) < len(t) for t in texts], bool)
+        order = np.argsort(alone, kind="stable")
+        joined = len(texts) - int(alone.sum())
+        flat, size = [], []
+        if joined:
+            end, token = self.between
+            own = [texts[i] for i in order[:joined]]
+            last = np.array([end], np.uint32)
+            ids = np.concatenate([v for e in self.encode([token.join(own[i : i + JOINED]) for i in range(0, joined, JOINED)]) for v in (e, last)])
+            cut = np.flatnonzero(ids == end)
+            flat.append(np.delete(ids, cut))
+            size.append(np.diff(cut, prepend=-1) - 1)
+        rest = self.encode([texts[i] for i in order[joined:]])
+        return np.concatenate([*flat, *rest]), np.concatenate([*size, np.fromiter(map(len, rest), np.int64, len(rest))]), order
+
     def learn(self, hashes: np.ndarray, texts: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(size.sum()))
+        flat, size, order = self.encode_pieces(texts)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), len(self.ids)), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
         spot = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, spot, hashes)
-        self.entry = np.insert(self.entry, spot, len(self.size) + np.arange(len(hashes)))
+        self.entry = np.insert(self.entry, spot, len(self.size) + place)
         self.begin = np.concatenate([self.begin, self.used + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.used += len(flat)

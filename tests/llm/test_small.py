@@ -98,6 +98,27 @@ def test_encoder_equals_the_tokenizer():
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[first : first + 1000]
 
 
+def test_new_pieces_go_together():
+    texts = [b" wor" + str(i).encode() for i in range(300)] + [b"<", b">", b"<|endof", b"text|>", b"a<|endoftext|>b", b" x>", "\u00e9\u2003".encode(), b"\n"]
+    enc = encoder.Encoder(VOCABULARY)
+    tokenizer, sent = enc.tokenizer, []
+    alone = {t: tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts}
+
+    class Counting:
+        def encode_batch_fast(self, parts, **more):
+            sent.extend(parts)
+            return tokenizer.encode_batch_fast(parts, **more)
+
+    enc.tokenizer = Counting()
+    for round_ in (texts, texts[::-1], texts[300:], texts[:1]):
+        enc.forget()
+        hashes = np.arange(len(round_), dtype=np.uint64)
+        enc.learn(hashes, round_)
+        got = [enc.ids[enc.begin[e] : enc.begin[e] + enc.size[e]].tolist() for e in enc.entry]
+        assert got == [alone[t] for t in round_]
+    assert len(sent) < 60
+
+
 def test_packing(docs, none):
     rows, by = packing.best_fit_packing(docs, VOCABULARY).collect(), defaultdict(list)
     seq = defaultdict(list)
