@@ -28,6 +28,8 @@ PERMUTATIONS, BITS = BANDS * ROWS, 2
 #: Estimates this far below the threshold are dropped: over six standard deviations of the estimate at 0.8.
 SLACK = 0.25
 PIVOTS = 2
+#: Links that one task joins at once; of more, rounds of large and small stars are made, to the same end. Every round's shuffles take threads of the driver.
+TASK_LINKS = 200_000
 #: Permutations are of 32-bit numbers, which processors multiply several at once.
 _rng = np.random.Generator(np.random.PCG64(5))
 MULTIPLY = _rng.integers(1, 1 << 30, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -249,11 +251,35 @@ def confirm(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) ->
     return both.mapInArrow(exact, "a binary, b binary")
 
 
+@lean
+def joined_links(batches):
+    """(u, v) of all links (u, v) of one task: each node that is not the least of its component, and that one."""
+    above: dict[bytes, bytes] = {}
+
+    def least(x: bytes) -> bytes:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = least(u), least(v)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    for i in range(0, len(nodes), 8192):
+        own = nodes[i : i + 8192]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([least(x) for x in own], pa.binary())], ["u", "v"])
+
+
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """(set_hash, label): the least set hash reachable. Large-star and small-star rounds until no edge changes."""
+    """(set_hash, label): the least set hash reachable. Up to TASK_LINKS links are joined by one task; of more, large-star and small-star rounds until no edge changes."""
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    before, few = None, edges.count() <= TASK_LINKS
+    if few:
+        edges, old = staged(edges.coalesce(1).mapInArrow(joined_links, "u binary, v binary"), "edges"), edges
+        discard(old)
+    while not few:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()

@@ -275,6 +275,25 @@ def test_prefix_filter(spark):
     assert want <= got and len(want) > 30 and len(got) < 0.2 * len(own) ** 2 / 2
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(minhash, "TASK_LINKS", most)
+    own = np.random.Generator(np.random.PCG64(3))
+    name = {i: own.bytes(16) for i in range(120)}
+    links = [(int(a), int(b)) for a, b in own.integers(0, 100, (70, 2)) if a != b] + [(i, i + 1) for i in range(100, 112)]
+    part = {i: {i} for i in name}
+    for a, b in links:
+        whole = part[a] | part[b]
+        for i in whole:
+            part[i] = whole
+    vertices = spark.createDataFrame([(n, 1) for n in name.values()], "set_hash binary, weight long")
+    before = len(list(spark.sparkContext.statusTracker().getJobIdsForGroup(None)))
+    got = {bytes(r.set_hash): bytes(r.label) for r in minhash.components(vertices, spark.createDataFrame([(name[a], name[b]) for a, b in links], "a binary, b binary")).collect()}
+    assert got == {name[i]: min(name[j] for j in part[i]) for i in name}
+    assert not most or len(list(spark.sparkContext.statusTracker().getJobIdsForGroup(None))) - before < 12
+    assert minhash.components(vertices, spark.createDataFrame([], "a binary, b binary")).where("label = set_hash").count() == len(name)
+
+
 def test_estimate():
     a = np.unique(RNG.integers(0, 1 << 62, 1000).astype(np.uint64))
     b = np.concatenate([a[:800], RNG.integers(0, 1 << 62, 200).astype(np.uint64)])
