@@ -1,6 +1,7 @@
 """Each operator on small tables, against brute force, and on nulls, empty texts, ties, repeats, empty tables and clashing names."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -435,6 +436,37 @@ def test_odd_rows_of_passages(spark):
     assert sum(t in (r.text or "") for r in left) in (1, 2)
 
 
+def test_passage_whose_seeds_are_tied_elsewhere(spark):
+    """A passage of document 50 is all of document 100; its runs of words are also in documents before and between, which take all ties."""
+    w = [f"w{i}" for i in range(60)]
+    rows = [(50, " ".join(w)), (100, " ".join(w))]
+    for k in range(19):
+        for d in (10 + k, 60 + k):
+            rows.append((d, " ".join([*(f"x{d}-{i}" for i in range(20)), *w[3 * k : 3 * k + 6], *(f"y{d}-{i}" for i in range(20))])))
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.first_doc_id, r.first_start, r.first_end) for r in got] == [(100, 0, 60, 50, 0, 60)]
+
+
+def test_open_passages_of_brute_force(spark):
+    """Documents of many common lines, dealt at random: all passages of which every fifth word at most is changed are covered, whatever else shares their seeds."""
+    r = random.Random(11)
+    lines = [[f"l{k}-{i}" for i in range(9)] for k in range(30)]
+    rows, planted = [], []
+    for d in range(120):
+        rows.append((d, [x for _ in range(4) for x in (*r.choice(lines), *(f"u{d}-{r.random()}" for _ in range(12)))]))
+    for n in range(12):
+        passage = [x for k in r.sample(range(30), 7) for x in lines[k]]
+        copy = [f"c{n}-{i}" if i % 9 == 4 else x for i, x in enumerate(passage)]
+        for d, own in ((200 + 7 * n, passage), (1000 + n, copy)):
+            rows.append((d, [*(f"p{d}-{i}" for i in range(15)), *own, *(f"q{d}-{i}" for i in range(15))]))
+        planted.append(1000 + n)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").coalesce(1)
+    found = {}
+    for p in substring.repeated_passages(docs).collect():
+        found.setdefault(p.doc_id, set()).update(range(p.start_word, p.end_word))
+    assert [d for d in planted if not set(range(20, 70)) <= found.get(d, set())] == []
+
+
 def test_stray_copy_before_a_passage(spark):
     w = prose(60)
     rows = [(0, w), (1, f"{prose(50)} {' '.join(w.split()[:8])} {prose(22)} {w} {prose(20)}")]
