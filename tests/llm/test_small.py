@@ -1,6 +1,7 @@
 """Each operator on small tables, against brute force, and on nulls, empty texts, ties, repeats, empty tables and clashing names."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -467,6 +468,30 @@ def test_open_passages_of_brute_force(spark):
     assert [d for d in planted if not set(range(20, 70)) <= found.get(d, set())] == []
 
 
+def test_ties_of_two_runs():
+    """Two documents with the same two runs of six seeds are tied once for each first seed, not by all pairs of seeds; one where the runs are too far apart for a passage is not tied."""
+    at = np.concatenate([np.arange(6), 60 + np.arange(6)])
+    key = np.concatenate([1000 + np.arange(6), 2000 + np.arange(6)]) * 977_777_777
+    places = [at, np.concatenate([at[:6], at[6:] + 2]), np.concatenate([at[:6], at[6:] + 120])]
+    seeds = [np.concatenate(c).astype(np.int64) for c in ([key] * 3, [np.full(12, d) for d in (1, 2, 3)], [p * 4 + 3 for p in places])]
+    dealt = sorted((r for b in substring.own_blocks(*seeds, 1) for r in b.to_pylist()), key=lambda r: r["bucket"])
+    keys = pa.Table.from_batches(list(substring.key_blocks([pa.RecordBatch.from_pylist(dealt)], 1)))
+    found = pa.Table.from_batches(list(substring.open_ties([pa.RecordBatch.from_pylist(keys.to_pylist())], 1))).to_pylist()
+    got = [tuple(v) for r in found for v in zip(*(substring.from_planes(r[c], w).tolist() for c, w in zip("abcd", substring.TIE_WIDTHS, strict=True)), strict=True)]
+    assert sorted(got) == sorted((1, 2, x, y) for i in range(6) for x, y in ((i, i), (60, 62)))
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 160])
+def test_equal_words_by_table(n):
+    r = np.random.default_rng(n)
+    for _ in range(50):
+        a, b = (r.integers(0, 12, max(n + d, 0)).astype("<u2") for d in (0, 3))
+        row = [0] * (len(b) + 1)
+        for v in a:
+            row = list(itertools.accumulate([0, *(max(row[k + 1], row[k] + (w == v)) for k, w in enumerate(b))], max))
+        assert substring.between(a, b) == row[-1]
+
+
 def test_stray_copy_before_a_passage(spark):
     w = prose(60)
     rows = [(0, w), (1, f"{prose(50)} {' '.join(w.split()[:8])} {prose(22)} {w} {prose(20)}")]
